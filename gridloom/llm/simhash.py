@@ -180,17 +180,154 @@ def near_components(
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- near copies by similarity: wide fingerprints for texts that share 0.8 of their five-word shingles
+
+
+WIDE = 4
+WIDE_SEGMENTS = tuple((64 * w + at, n) for w in range(2) for at, n in SEGMENTS)
+#: Differing bits of 256 up to which two wide fingerprints count as a similarity of about 0.8 or more: at a Jaccard
+#: similarity J of shingles, angle arccos(2J / (1 + J)), 39 bits are expected at 0.8 and 49 at 0.7.
+WIDE_DISTANCE = 46
+#: Rows of a bucket compared in one task; larger buckets are compared tile by tile.
+TILE = 2048
+GUARDS = 4
+
+
+def _mix(a: np.ndarray, salt: int) -> np.ndarray:
+    a = (a ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    a = (a ^ (a >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return a ^ (a >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(WIDE words of SimHash bits, GUARDS least word hashes) of a whole text; both zero without words."""
+    words = utf8(text).translate(LOWER_BYTES).split()
+    if not words:
+        return np.zeros(WIDE, np.uint64), np.zeros(GUARDS, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    h = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64)
+    ones = np.zeros((WIDE, 64), np.int64)
+    for i in range(0, n, 1 << 14):
+        for w in range(WIDE):
+            part = _mix(h[i : i + (1 << 14)], w + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones[w] += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    fp = np.packbits(ones * 2 > n, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    own = np.fromiter((digest(w, 7) for w in set(words)), np.uint64)
+    return fp, np.array([_mix(own, 100 + g).min() for g in range(GUARDS)], np.uint64)
+
+
+def _forest(fps: np.ndarray, ids: np.ndarray, split: int | None) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the rows within WIDE_DISTANCE; split: only pairs across this position count."""
+    n = len(ids)
+    us, vs, left = [], [], np.arange(n)
+    while len(left):
+        stack, left = [left[0]], left[1:]
+        while stack and len(left):
+            i = stack.pop()
+            near = np.bitwise_count(fps[left] ^ fps[i]).sum(axis=1, dtype=np.int64) <= WIDE_DISTANCE
+            if split is not None:
+                near &= (left < split) != (i < split)
+            hit = left[near]
+            us += [int(ids[i])] * len(hit)
+            vs += ids[hit].tolist()
+            stack += hit.tolist()
+            left = left[~near]
+    return us, vs
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(fp, least, component_id): each distinct wide fingerprint, its least id and the least id of its group.
+
+    Texts whose shingle sets are similar to about 0.8 or more, as estimated from 256 SimHash bits, are linked.
+    Pairs are looked for under keys of one Golay codeword index (six segments, up to six indices each) joined
+    with two least word hashes (two alternatives), which keep unrelated texts apart at any corpus size.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [wide_fingerprint(t, shingle) for t in pdf["text"]]
+            yield pd.DataFrame(
+                {"doc_id": pdf["doc_id"], "fp": [f.tobytes() for f, _ in found], "guards": [g.tobytes() for _, g in found]}
+            )
+
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fps = materialize(src.mapInPandas(read, "doc_id long, fp binary, guards binary"), "wide")
+    unique = materialize(
+        fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("guards").alias("guards"))
+        .withColumn("node", F.xxhash64("fp")), "wide-unique",
+    )
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            words = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(-1, WIDE)
+            guards = np.frombuffer(b"".join(pdf["guards"]), np.uint64).reshape(-1, GUARDS)
+            node, out = pdf["node"].to_numpy(np.int64), []
+            for s, (at, n) in enumerate(WIDE_SEGMENTS):
+                part = (words[:, at // 64] >> np.uint64(at % 64)) & np.uint64((1 << n) - 1)
+                index = golay_indices(part.astype(np.int64))
+                row, col = np.nonzero(index >= 0)
+                for g in range(0, GUARDS, 2):
+                    guard = _mix(guards[row, g] ^ _mix(guards[row, g + 1], g), 200 + s)
+                    key = _mix(guard ^ index[row, col].astype(np.uint64), 300 + g)
+                    out.append(pd.DataFrame({"key": key.astype(np.int64), "node": node[row]}))
+            yield pd.concat(out)
+
+    keyed = materialize(unique.select("node", "fp", "guards").mapInPandas(emit, "key long, node long"), "wide-keys")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-shared")
+    members = keyed.join(shared, "key").join(unique.select("node", "fp"), "node")
+    # a bucket of t tiles becomes t * (t + 1) / 2 pairs of tiles, each compared by one task
+    members = members.withColumn("t", F.ceil(F.col("n") / TILE)).withColumn(
+        "mine", F.when(F.col("t") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("t")))
+    )
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
+    members = members.select(
+        "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "node", "fp"
+    )
+
+    def compare(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            us, vs = [], []
+            for a, b, each in zip(pdf["a"], pdf["b"], pdf["rows"], strict=True):
+                each = sorted(each, key=lambda r: (r["mine"] != a, r["node"]))
+                fp = np.frombuffer(b"".join(r["fp"] for r in each), np.uint64).reshape(-1, WIDE)
+                ids = np.array([r["node"] for r in each], np.int64)
+                u, v = _forest(fp, ids, None if a == b else sum(r["mine"] == a for r in each))
+                us += u
+                vs += v
+            yield pd.DataFrame({"u": us, "v": vs}, dtype=np.int64)
+
+    edges = (
+        members.groupBy("key", "a", "b")
+        .agg(F.collect_list(F.struct("mine", "node", "fp")).alias("rows"))
+        .mapInPandas(compare, "u long, v long")
+        .distinct()
+    )
+    roots = components(edges)
+    placed = materialize(
+        unique.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "wide-roots"
+    )
+    least = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "wide-least")
+    return placed.join(least, "root").select("fp", "least", "component_id")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """docs with the least-id row of each component of near-duplicates; all columns kept.
+    """docs with one row of each group of near copies (see near_copy_groups): its least id; all columns kept.
 
-    Rows with an equal id are told apart by their other columns; of wholly equal rows one stays. A component whose
-    ids are all null keeps one row.
+    Null and wordless texts form one group. Rows with an equal id are told apart by their other columns; of
+    wholly equal rows one stays. Rows with a null id stay only if their group has no other row.
     """
-    found = near_components(docs, id_col, text_col, shingle).select("doc_id", "component_id")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct()
+    groups = near_copy_groups(docs, id_col, text_col, shingle)
+    keep = groups.select(F.col("component_id").alias("keep")).distinct()
     order = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != id_col])
     kept = docs.select(F.struct("*").alias("row")).join(
-        keep.withColumnRenamed("doc_id", "keep"), F.col(f"row.`{id_col}`").eqNullSafe(F.col("keep")), "left_semi"
+        keep, F.col(f"row.`{id_col}`").eqNullSafe(F.col("keep")), "left_semi"
     )
     return kept.groupBy(F.col(f"row.`{id_col}`").alias("id")).agg(F.min_by("row", order).alias("row")).select("row.*")
 
