@@ -1,14 +1,19 @@
 """The subpackage's registered queries and, where SQL can express them, their SQL."""
 
-from . import exact, mixing, simhash
+from . import chat, exact, mixing, packing, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_chat_format": chat.op2_chat_format,
+    "op4_packing": packing.op4_packing,
+    "op6_sharding": sharding.op6_sharding,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
 ORACLE = {
     "op1_mixing": mixing.SQL,
+    "op2_chat_format": chat.SQL,
+    "op6_sharding": sharding.SQL,
     "op10_exact_dedup": exact.SQL,
 }
