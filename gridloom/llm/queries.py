@@ -1,12 +1,13 @@
 """The subpackage's registered queries and, where SQL can express them, their SQL."""
 
-from . import chat, exact, mixing, packing, sharding, simhash
+from . import chat, exact, mixing, packing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat_format": chat.op2_chat_format,
     "op4_packing": packing.op4_packing,
     "op6_sharding": sharding.op6_sharding,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
