@@ -14,6 +14,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For bytes.translate: lower-cases A-Z and leaves all other bytes.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Rows of an Arrow batch for tables of whole texts; Spark's own default of 10,000 rows can be hundreds of MB here.
+TEXT_BATCH = 500
+
 _own_scratch: dict[str, str] = {}
 
 
@@ -21,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at a time, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_BATCH))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

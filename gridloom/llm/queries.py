@@ -1,10 +1,11 @@
 """The subpackage's registered queries and, where SQL can express them, their SQL."""
 
-from . import chat, exact, mixing, packing, sharding, simhash, toxicity, warc
+from . import chat, exact, media, mixing, packing, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_media": media.op3_media,
     "op4_packing": packing.op4_packing,
     "op5_warc": warc.op5_warc,
     "op6_sharding": sharding.op6_sharding,

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, materialize, utf8
+from .common import LOWER_BYTES, materialize, text_batches, utf8
 from .components import components
 
 #: Generator polynomial of the binary Golay code of length 23.
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).astype(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
 
+    text_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     if kind != "bigint":
@@ -255,6 +256,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 {"doc_id": pdf["doc_id"], "fp": [f.tobytes() for f, _ in found], "guards": [g.tobytes() for _, g in found]}
             )
 
+    text_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fps = materialize(src.mapInPandas(read, "doc_id long, fp binary, guards binary"), "wide")
     unique = materialize(

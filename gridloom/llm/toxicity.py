@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, text_batches
+
 THRESHOLD = 0.7
 #: Labelled rows that the model is fitted on: those with the least hashes, at most so many. A row is used whole.
 FIT_ROWS = 20_000
@@ -195,8 +197,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model of at most ``rows`` labelled rows; without toxic labels, one that knows only the word lists."""
-    from .common import materialize
-
+    text_batches(docs.sparkSession)
     train = materialize(labelled(docs, labels, rows).repartition(24), "labelled")
     model = Model(learn_lexicon(train))
     if not model.lexicon:
