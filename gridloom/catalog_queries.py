@@ -515,16 +515,7 @@ def _(spark, sf):
 @query("raster_to_vector")
 def _(spark, sf):
     flat = src.parts(spark, sf).filter_bands(["psize"]).apply(_callback(_node("gt", x=X, y=25)))
-    return sp.raster_to_vector(flat, _scratch).drop("edges")
-
-
-def _scratch(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-    return df.checkpoint()
+    return sp.raster_to_vector(flat).drop("edges")
 
 
 # --- surroundings and grids

@@ -20,6 +20,7 @@ from ..model import (
     ProcessParameterInvalid,
     ReducerUnsupported,
 )
+from ..plans.scratch import written
 from .cube import Cube
 
 # --- polygons
@@ -402,17 +403,16 @@ def vector_to_raster(feats: DataFrame, target: Cube, columns: Sequence[str], dat
     return Cube(last, replace(target.meta, temporal=bool(key), bands=tuple(Band(c) for c in columns)))
 
 
-def zones(cube: Cube, band: str, scratch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def zones(cube: Cube, band: str) -> DataFrame:
     """([t], y, x, value, zone): 4-connected zones of equal value; zone is the least cell number of its zone.
 
     Each round takes the least label among a cell's neighbours and then the label of that label, so that rounds grow
-    with the logarithm of a zone's diameter. ``scratch`` cuts the plan between rounds (by default a reliable checkpoint).
+    with the logarithm of a zone's diameter. Each round's labels are a table in shared storage.
     """
     g, t = cube.meta.grid, cube.keys[:-2]
-    scratch = scratch or (lambda df: df.checkpoint())
     number = (F.col("y").cast("long") * g.width + F.col("x")).alias("cell")
     cells = cube.df.where(F.col(band).isNotNull()).select(*t, "y", "x", F.col(band).alias("value"), number)
-    cells = scratch(cells.withColumn("zone", F.col("cell")))
+    cells = written(cells.withColumn("zone", F.col("cell")))
     while True:
         around = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
         places = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in around])
@@ -421,14 +421,14 @@ def zones(cube: Cube, band: str, scratch: Callable[[DataFrame], DataFrame] | Non
         least = sent.groupBy(*t, "y", "x", "value").agg(F.min("zone").alias("near"))
         near = cells.join(least, [*t, "y", "x", "value"])
         jump = near.select(*t, F.col("cell").alias("near"), F.col("near").alias("far"))
-        nxt = scratch(near.join(jump, [*t, "near"]).select(*t, "y", "x", "value", "cell", F.least("near", "far").alias("label"), "zone"))
+        nxt = written(near.join(jump, [*t, "near"]).select(*t, "y", "x", "value", "cell", F.least("near", "far").alias("label"), "zone"))
         changed = not nxt.where("label != zone").isEmpty()
         cells = nxt.drop("zone").withColumnRenamed("label", "zone")
         if not changed:
             return cells.select(*t, "y", "x", "value", "zone")
 
 
-def raster_to_vector(cube: Cube, scratch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def raster_to_vector(cube: Cube) -> DataFrame:
     """([t], band, value, zone, n_cells, west, south, east, north, edges): polygons of the zones of each band.
 
     edges are the unit edges between a zone and what is not part of it, as (x1, y1, x2, y2); chained, they are its rings.
@@ -436,7 +436,7 @@ def raster_to_vector(cube: Cube, scratch: Callable[[DataFrame], DataFrame] | Non
     g, t = cube.meta.grid, cube.keys[:-2]
     out = None
     for band in cube.bands:
-        z = zones(cube, band, scratch)
+        z = zones(cube, band)
         sides = F.array(*[
             F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), *[F.lit(v).alias(n) for n, v in zip(("a", "b", "c", "d"), e, strict=True)])
             for dy, dx, e in ((-1, 0, (0, 0, 1, 0)), (1, 0, (0, 1, 1, 1)), (0, -1, (0, 0, 0, 1)), (0, 1, (1, 0, 1, 1)))

@@ -195,9 +195,11 @@ def deduplicate(
             keep.append(max(group, key=lambda k: order[k]))
         return pdf.loc[sorted(keep), ["id", "_key"]]
 
-    small = df.select("id", "_key", "_session", "_time", "_order", "west", "south", "east", "north")
-    kept = small.groupBy("_key", "_session").applyInPandas(lambda pdf: groups(pdf), "id string, _key string")
-    return items.join(kept.select("id"), "id", "left_semi")
+    df = df.withColumn("_n", F.count("*").over(W.partitionBy("_key", "_session")))
+    small = df.select("id", "_key", "_session", "_n", "_time", "_order", "west", "south", "east", "north")
+    alone = small.where("_n = 1").select("id", "_key")
+    kept = small.where("_n > 1").groupBy("_key", "_session").applyInPandas(lambda pdf: groups(pdf), "id string, _key string")
+    return items.join(alone.union(kept).select("id"), "id", "left_semi")
 
 
 def prefer_timeliness(items: DataFrame, acquisition: Sequence[str], order: Sequence[str] = ("NT", "ST", "NR"), property: str = "timeliness") -> DataFrame:
