@@ -512,7 +512,10 @@ def _(spark, sf):
     return sp.vector_to_raster(feats, src.sales(spark, sf), ["level"])
 
 
-@query("raster_to_vector")
+@query("raster_to_vector", f"""WITH RECURSIVE {PA}, c AS (SELECT y, x, (psize > 25)::INT::DOUBLE AS v, (y * 16 + x)::BIGINT AS cell FROM pa),
+r AS (SELECT y, x, v, cell, cell AS zone FROM c UNION SELECT c.y, c.x, c.v, c.cell, r.zone FROM r JOIN c ON c.v = r.v AND abs(c.y - r.y) + abs(c.x - r.x) = 1),
+z AS (SELECT y, x, v, min(zone) AS zone FROM r GROUP BY y, x, v)
+SELECT zone, v AS value, count(*) AS n_cells, min(x)::DOUBLE AS west, (16 - max(y) - 1)::DOUBLE AS south, (max(x) + 1)::DOUBLE AS east, (16 - min(y))::DOUBLE AS north, 'psize' AS band FROM z GROUP BY zone, v""")
 def _(spark, sf):
     flat = src.parts(spark, sf).filter_bands(["psize"]).apply(_callback(_node("gt", x=X, y=25)))
     return sp.raster_to_vector(flat).drop("edges")
@@ -643,7 +646,8 @@ def _(spark, sf):
     return items.query_json(items.query(src.scenes(spark, sf), (0, 0, 30, 30)))
 
 
-@query("dedup_items")
+# order dates are whole days, so items half a day apart are those of one day
+@query("dedup_items", f"WITH {SC} SELECT max(id) AS id, datetime FROM sc GROUP BY status, priority, datetime")
 def _(spark, sf):
     coarse = src.scenes(spark, sf).withColumns({"west": F.lit(0.0), "south": F.lit(0.0), "east": F.lit(1.0), "north": F.lit(1.0)})
     return items.deduplicate(coarse, ["status", "priority"], seconds=43200).select("id", "datetime")

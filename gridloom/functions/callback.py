@@ -61,7 +61,11 @@ def elementwise(fn: Callable[..., Column]) -> Callable[..., Value]:
 
 
 def _scale(x: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
-    return F.least(F.greatest(F.try_divide((x - a) * (d - c), b - a) + c, F.least(c, d)), F.greatest(c, d))
+    return _clip(F.try_divide((x - a) * (d - c), b - a) + c, F.least(c, d), F.greatest(c, d))
+
+
+def _clip(x: Column, low: Column, high: Column) -> Column:
+    return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))  # least and greatest skip NULL
 
 
 def _difference(a: Value, b: Value, unit: str = "second") -> Column:
@@ -289,7 +293,7 @@ class Compiler:
             args = [a["x"], a.get("inputMin"), a.get("inputMax"), a.get("outputMin", 0), a.get("outputMax", 1)]
             return elementwise(_scale)(*args)
         if process == "clip":
-            return elementwise(lambda x, lo, hi: F.least(F.greatest(x, lo), hi))(a["x"], a["min"], a["max"])
+            return elementwise(_clip)(a["x"], a["min"], a["max"])
         if process == "if":
             accept, reject = a.get("accept"), a.get("reject")
             return elementwise(lambda v, t, f: F.when(v, t).otherwise(f))(a["value"], accept, reject)

@@ -20,7 +20,7 @@ from ..model import ProcessParameterInvalid, ProcessUnsupported
 from ..operators import spatial
 from ..operators.cube import Cube
 from ..sinks import files
-from ..sources import items, tables
+from ..sources import items, synthetic, tables  # noqa: F401  (synthetic registers itself)
 
 Process = Callable[["Evaluator", dict], Any]
 PROCESSES: dict[str, Process] = {}
@@ -140,7 +140,7 @@ def _reducer(v: Any) -> str | dict:
 @process("load_collection")
 def _load(e, a):
     extent = tuple(a["temporal_extent"]) if a.get("temporal_extent") else None
-    return tables.load_collection(e.spark, a["id"], a.get("spatial_extent"), extent, a.get("bands"), a.get("properties"), **a.get("featureflags", {}))
+    return tables.load_collection(e.spark, a["id"], a.get("spatial_extent"), extent, a.get("bands"), a.get("properties"), options=a.get("featureflags"))
 
 
 @process("load_result")

@@ -72,9 +72,3 @@ def _sales(spark: SparkSession, sf_dir: str) -> Cube:
 def _activity(spark: SparkSession, sf_dir: str) -> Cube:
     return activity(spark, sf_dir)
 
-
-@register("testing")
-def _testing(spark: SparkSession, **options) -> Cube:
-    from . import synthetic
-
-    return synthetic.load(spark, **options)

@@ -29,12 +29,12 @@ def register(name: str) -> Callable[[Reader], Reader]:
 
 def load_collection(
     spark: SparkSession, name: str, spatial_extent: dict | None = None, temporal_extent: tuple | None = None, bands: list | None = None,
-    properties: dict | None = None, postprocessing: Callable[[Cube], Cube] | None = None, **options,
+    properties: dict | None = None, postprocessing: Callable[[Cube], Cube] | None = None, options: dict | None = None, **more,
 ) -> Cube:
     """A registered collection, filtered; filters are part of the plan and reach the scan."""
     if name not in _collections:
         raise CollectionNotFound(name)
-    cube = _collections[name](spark, **options)
+    cube = _collections[name](spark, **(options or {}), **more)
     if temporal_extent:
         cube = cube.filter_temporal(*temporal_extent)
     if spatial_extent:

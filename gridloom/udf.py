@@ -57,9 +57,9 @@ def apply_tiles(cube: Cube, fn: Callable[..., np.ndarray] | str, tile: int | Non
     returning (bands, y, x). Cells that are NaN in all bands are absent from the result.
     """
     if isinstance(fn, str):
-        code, names = fn, ("apply_datacube", "apply_array")
-        compile_code(code, names)
-        fn = lambda a, c: compile_code(code, names)[1](a, c)
+        code, known_names = fn, ("apply_datacube", "apply_array")
+        compile_code(code, known_names)
+        fn = lambda a, c: compile_code(code, known_names)[1](a, c)
     size = tile or cube.meta.grid.tile
     names, own, temporal = bands or cube.bands, cube.bands, cube.meta.temporal
     df = cube.df.withColumns({"_ty": F.floor(F.col("y") / size).cast("int"), "_tx": F.floor(F.col("x") / size).cast("int")})
