@@ -18,12 +18,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 1 << 16
+BLOCK_BITS = 1 << 20
 #: Bits of the largest filter (32 MiB); beyond about 17 million keys more rows test positive, and results stay exact.
 MAX_BITS = 1 << 28
 BITS_PER_KEY = 16
 HASHES = 4
-MERGE_WIDTH = 64
+#: First-round groups of a block's partial bitmaps: at least these, and one more for so many keys.
+MERGE_WIDTH, KEYS_A_GROUP = 16, 50_000_000
 
 
 def filter_bits(n_keys: int) -> int:
@@ -82,7 +83,7 @@ def repeated_filter(df: DataFrame, key: str, n_keys: int) -> tuple[int, Broadcas
 
     schema = "block int, once binary, again binary"
     parts = df.select(F.col(key).cast("long").alias("k")).mapInPandas(fill, schema)
-    parts = parts.withColumn("part", F.spark_partition_id() % MERGE_WIDTH)
+    parts = parts.withColumn("part", F.spark_partition_id() % (MERGE_WIDTH + n_keys // KEYS_A_GROUP))
     parts = parts.groupBy("block", "part").applyInPandas(lambda pdf: merge(pdf), schema)
     parts = parts.groupBy("block").applyInPandas(lambda pdf: merge(pdf), schema)
     bitmap = np.zeros(bits // 8, np.uint8)

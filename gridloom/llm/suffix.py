@@ -2,7 +2,7 @@
 
 A byte goes if a LENGTH-byte string that covers it starts anywhere else in the corpus too. The corpus is cut into
 pieces that can be indexed apart: the least hash among the GRAM-byte grams of a window is its anchor, equal windows have
-equal anchors at equal places, and a run of windows with one anchor is an entry with a context of at most 381 bytes.
+equal anchors at equal places, and a run of windows with one anchor is an entry with a context of at most 337 bytes.
 Entries whose anchor certainly occurs once (a Bloom filter of anchors seen twice tells) are dropped where they are.
 Equal contexts collapse into one. Contexts that share an anchor but differ go to index shards, by anchor.
 
@@ -26,23 +26,23 @@ from pyspark.sql import functions as F
 from .bloom import maybe_repeated, repeated_filter, test_keys
 from .common import materialize, text_batches, utf8
 
-LENGTH, GRAM = 200, 20
-#: Bytes of contexts in an index shard; an anchor whose contexts exceed HEAVY bytes compares hashed windows instead.
-SHARD, HEAVY = 1 << 20, 8 << 20
+LENGTH, GRAM = 200, 64
+#: Bytes of contexts in a shard, and of anchors indexed together there (about 60 bytes of memory a byte); an anchor whose
+#: contexts exceed HEAVY bytes compares hashed windows instead.
+SHARD, INDEX, HEAVY = 1 << 20, 1 << 18, 2 << 20
+#: Bytes of short texts hashed at a time, and of a long text.
+BATCH, PART = 1 << 17, 1 << 23
 _POSITION = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
-    """Mixed 64-bit hashes of all 20-byte grams: sums of 2, 4, 16 and then 20 bytes by doubling."""
-    h, power, four = _TABLE[b], _BASE, None
-    for step in (1, 2, 4, 8):
+    """Mixed 64-bit hashes of all 64-byte grams: sums of 2, 4, ... 64 bytes by doubling."""
+    h, power = _TABLE[b], _BASE
+    for step in (1, 2, 4, 8, 16, 32):
         h = h[:-step] * np.uint64(power) + h[step:]
         power = power * power % (1 << 64)
-        if step == 2:
-            four, p4 = h, np.uint64(power)
-    h = h[:-4] * p4 + four[16:]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
@@ -58,22 +58,35 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, last window) of each run of windows with one anchor; none below ``length`` bytes."""
-    grams, firsts, lasts = [], [], []
-    part = 1 << 23  # positions must fit 24 bits
-    for at in range(0, max(0, len(data) - length + 1), part):
-        b = np.frombuffer(data, np.uint8, min(len(data) - at, part + length - 1), at)
-        h = _grams(b)
-        least = _least((h & ~_POSITION) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
-        place = (least & _POSITION).astype(np.int64)
-        first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
-        grams.append(h[place[first]].astype(np.int64))
-        firsts.append(first + at)
-        lasts.append(np.append(first[1:], len(place)) - 1 + at)
-    if not grams:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(grams), np.concatenate(firsts), np.concatenate(lasts)
+def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, anchor hash, first window, last window) of each run of windows with one anchor.
+
+    Texts are taken together up to BATCH bytes, since short arrays cost more to call than to fill; windows that cross
+    texts don't count. Texts below ``length`` bytes have no windows.
+    """
+    out, begin = [], 0
+    own = np.array([len(t) for t in texts], np.int64)
+    while begin < len(texts):
+        end, size = begin + 1, int(own[begin])
+        while end < len(texts) and size + own[end] <= BATCH:
+            size, end = size + int(own[end]), end + 1
+        for at in range(0, max(1, size), PART):  # a long text in parts, so that positions fit 24 bits
+            data = b"".join(texts[begin:end])[at : at + PART + length - 1]
+            if len(data) >= length:
+                stop = np.cumsum(own[begin:end]) - at
+                text = np.searchsorted(stop, np.arange(len(data) - length + 1), side="right")
+                h = _grams(np.frombuffer(data, np.uint8))
+                least = _least((h & ~_POSITION) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
+                window = np.flatnonzero(np.arange(len(text)) + length <= stop[text])
+                if len(window):
+                    place, text = (least[window] & _POSITION).astype(np.int64), text[window]
+                    change = (np.diff(place) != 0) | (np.diff(window) != 1) | (np.diff(text) != 0)
+                    first = np.concatenate(([0], np.flatnonzero(change) + 1))
+                    last = np.append(first[1:], len(place)) - 1
+                    shift = (stop - own[begin:end])[text[first]]  # where the text begins
+                    out.append((text[first] + begin, h[place[first]].astype(np.int64), window[first] - shift, window[last] - shift))
+        begin = end
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
 def suffix_order(symbols: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,28 +95,34 @@ def suffix_order(symbols: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> tu
     rest: bytes to the end of the text; owner: the number of the text, which orders suffixes that are equal.
     """
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for i in range(7):
-        key = (key << np.uint64(9)) | np.where(rest > i, padded[i : i + n] + np.uint64(1), np.uint64(0))
-    order = np.lexsort((np.where(rest < 7, owner + 1, 0), key))
-    tie = np.where(rest < 7, owner + 1, 0)
-    new = np.concatenate(([0], (key[order][1:] != key[order][:-1]) | (tie[order][1:] != tie[order][:-1])))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
-    step = 7
-    while step < int(rest.max(initial=0)) and new.sum() + 1 < n:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - step] = rank[step:] + 1
-        nxt[rest <= step] = 0
-        # a suffix that ends within the step is distinct from others by its owner already, or is ordered by it now
-        nxt = np.where(rest <= step, owner - len(symbols), nxt)
-        both = rank * (2 * n + 2) + (nxt + n)
-        order = np.argsort(both, kind="stable")
-        new = np.concatenate(([0], np.diff(both[order]) != 0))
-        rank[order] = np.cumsum(new)
+
+    def ahead(values: np.ndarray, step: int) -> np.ndarray:
+        """What stands ``step`` places on in the same text, else 0."""
+        out = np.zeros(n, values.dtype)
+        out[: n - step] = values[step:]
+        out[rest <= step] = 0
+        return out
+
+    key = symbols.astype(np.uint64) + np.uint64(1)  # seven symbols of nine bits, by doubling
+    key = (key << np.uint64(9)) | ahead(key, 1)
+    key = (key << np.uint64(18)) | ahead(key, 2)
+    key = (key << np.uint64(27)) | (ahead(key, 4) >> np.uint64(9))
+    rank, step = np.empty(n, np.int32), 7
+    while True:
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        new = np.zeros(n, np.int32)
+        np.cumsum(key[1:] != key[:-1], out=new[1:])
+        rank[order] = new
+        if new[-1] + 1 == n:
+            return order, rank
+        # a suffix that ends within the step is ordered by its owner, before all that go on
+        key = rank * np.int64(2 * n + 2)
+        key[: n - step] += rank[step:]
+        key += n + 1
+        short = rest <= step
+        key[short] = rank[short] * np.int64(2 * n + 2) + owner[short]
         step *= 2
-    return order, rank
 
 
 def match_lengths(texts: list[bytes]) -> list[np.ndarray]:
@@ -115,19 +134,22 @@ def match_lengths(texts: list[bytes]) -> list[np.ndarray]:
     symbols = np.frombuffer(b"".join(texts), np.uint8)
     n = len(symbols)
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    rest = ends[owner] - np.arange(n)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    place = np.arange(n, dtype=np.int32)
+    rest = (ends[owner] - place).astype(np.int32)
     order, _ = suffix_order(symbols, rest, owner)
     # the transform; the byte before a text's first is a symbol of its own, so no run crosses texts
     starts = ends - sizes
-    before = np.where(order == starts[owner[order]], 256 + owner[order], symbols[order - 1].astype(np.int64))
+    before = symbols[order - 1].astype(np.int32)
+    first = order == starts[owner[order]]
+    before[first] = 256 + owner[order][first]
     change = np.flatnonzero(np.diff(before)) + 1
     heads = np.concatenate(([0], change))  # first of each run: compared with the suffix above
     tails = np.append(change - 1, n - 1)  # last of each run: compared with the suffix below
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffix pairs, in strides of eight bytes and then one."""
-        out, limit = np.zeros(len(a), np.int64), np.minimum(rest[a], rest[b])
+        out, limit = np.zeros(len(a), np.int32), np.minimum(rest[a], rest[b])
         live = np.arange(len(a))
         for width in (16, 1):
             live = np.arange(len(a)) if width == 1 else live
@@ -141,14 +163,14 @@ def match_lengths(texts: list[bytes]) -> list[np.ndarray]:
                 out[live] += width
         return out
 
-    best = np.zeros(n, np.int64)
+    best = np.zeros(n, np.int32)
     for ends_of, shift in ((heads, -1), (tails, 1)):
         inside = ends_of[(ends_of + shift >= 0) & (ends_of + shift < n)]
-        sample = np.full(n, -1, np.int64)
+        sample = np.full(n, -1, np.int32)
         sample[order[ends_of]] = 0
         sample[order[inside]] = common(order[inside], order[inside + shift])
-        at = np.maximum.accumulate(np.where(sample >= 0, np.arange(n), 0))
-        best = np.maximum(best, sample[at] - (np.arange(n) - at))
+        at = np.maximum.accumulate(np.where(sample >= 0, place, np.int32(0)))
+        best = np.maximum(best, sample[at] - (place - at))
     return np.split(best, ends[:-1])
 
 
@@ -178,26 +200,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"h": np.concatenate([anchors(utf8(t), length)[0] for t in pdf["text"]])})
+            yield pd.DataFrame({"h": anchors([utf8(t) for t in pdf["text"]], length)[1]})
 
     own = materialize(src.mapInPandas(hashes, "h long"), "anchors")
     bits, bitmap = repeated_filter(own, "h", own.count())
 
+    def flagged(pdf: pd.DataFrame, seen: set[bytes], bits: int, bitmap: bytes) -> tuple[list, list, list, list, list, list]:
+        """Entries of texts not seen before in this task whose anchor tests positive: key, gram, first, size, digest, body."""
+        datas, keys = [], []
+        for text in pdf["text"]:
+            data = utf8(text)
+            key = hashlib.sha256(data).digest()[:16]
+            if len(data) >= length and key not in seen:
+                seen.add(key)
+                datas.append(data)
+                keys.append(key)
+        text, grams, first, last = anchors(datas, length)
+        hit = test_keys(grams, bits, bitmap)
+        at, i, j = text[hit].tolist(), first[hit].tolist(), (last[hit] + length).tolist()
+        bodies = [datas[t][a:b] for t, a, b in zip(at, i, j, strict=True)]
+        size = [len(b) for b in bodies]
+        return [keys[t] for t in at], grams[hit].tolist(), i, size, [xxhash.xxh3_128_digest(b) for b in bodies], bodies
+
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()  # a task's texts: copies give no new entries
         for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                data = utf8(text)
-                key = hashlib.sha256(data).digest()[:16]
-                if len(data) < length or key in seen:
-                    continue
-                seen.add(key)
-                grams, first, last = anchors(data, length)
-                hit = test_keys(grams, bits, bitmap.value)
-                for g, i, j in zip(grams[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                    out.append((g, xxhash.xxh3_128_digest(data[i : j + length]), key, i, j + length - i))
-            yield pd.DataFrame(out, columns=["gram", "digest", "key", "first", "size"])
+            key, gram, first, size, digest, _ = flagged(pdf, seen, bits, bitmap.value)
+            yield pd.DataFrame({"gram": gram, "digest": digest, "key": key, "first": first, "size": size})
 
     found = src.mapInPandas(entries, "gram long, digest binary, key binary, first long, size long")
     found = materialize(found.dropDuplicates(["key", "first"]), "entries")
@@ -210,29 +239,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for pdf in batches:
-            out = {}
-            for text in pdf["text"]:
-                data = utf8(text)
-                key = hashlib.sha256(data).digest()[:16]
-                if len(data) < length or key in seen:
-                    continue
-                seen.add(key)
-                grams, first, last = anchors(data, length)
-                hit = test_keys(grams, wanted, wanted_map.value)
-                for g, i, j in zip(grams[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                    body = data[i : j + length]
-                    out[g, xxhash.xxh3_128_digest(body)] = body
-            yield pd.DataFrame([(g, d, b) for (g, d), b in out.items()], columns=["gram", "digest", "body"])
+            _, gram, _, _, digest, body = flagged(pdf, seen, wanted, wanted_map.value)
+            yield pd.DataFrame({"gram": gram, "digest": digest, "body": body}).drop_duplicates(["gram", "digest"])
 
     texts = src.mapInPandas(bodies, "gram long, digest binary, body binary").dropDuplicates(["gram", "digest"])
     texts = materialize(texts.join(mixed, "gram"), "bodies")
     shards = max(1, -(-int(n_bytes) // SHARD))
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        matches = match_lengths([bytes(b) for b in pdf["body"]])
-        spans = [_spans(m[: len(m) - length + 1] >= length, length) for m in matches]
-        out = pdf[["gram", "digest"]].assign(spans=[[{"s": s, "e": e} for s, e in x] for x in spans])
-        return out[[bool(x) for x in spans]]
+        """Anchors are indexed together up to INDEX bytes, so that memory is bounded."""
+        pdf = pdf.sort_values("gram", kind="stable").reset_index(drop=True)
+        size, gram = pdf["body"].map(len).to_numpy(), pdf["gram"].to_numpy()
+        marked, begin = [], 0
+        ends = np.append(np.flatnonzero(np.diff(gram)) + 1, len(gram))  # of each anchor's contexts
+        for i, end in enumerate(ends.tolist()):
+            if i + 1 == len(ends) or size[begin : ends[i + 1]].sum() > INDEX:
+                matches = match_lengths([bytes(b) for b in pdf["body"].iloc[begin:end]])
+                marked += [_spans(m[: len(m) - length + 1] >= length, length) for m in matches]
+                begin = end
+        out = pdf[["gram", "digest"]].assign(spans=[[{"s": s, "e": e} for s, e in x] for x in marked])
+        return out[[bool(x) for x in marked]]
 
     light = texts.where(F.col("bytes") <= heavy).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
     light = light.select("shard", "gram", "digest", "body").groupBy("shard").applyInPandas(lambda pdf: index(pdf), MARKS)
