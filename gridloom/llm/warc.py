@@ -51,8 +51,8 @@ def _http(payload: bytes, page_id) -> bytes:
     return head.encode() + payload
 
 
-def _segments(records: Iterator[bytes], opening) -> Iterator[pd.DataFrame]:
-    """One row for each file: opening(number) and records up to about SEGMENT bytes. Spark ends each with a newline."""
+def _segments(records: Iterator[bytes], opening, segment: int = SEGMENT) -> Iterator[pd.DataFrame]:
+    """One row for each file: opening(number) and records up to about ``segment`` bytes. Spark ends each with a newline."""
     parts, size, number = [], 0, 0
     for record in records:
         if not parts:
@@ -60,7 +60,7 @@ def _segments(records: Iterator[bytes], opening) -> Iterator[pd.DataFrame]:
         record = record(size + len(parts[0]), number) if callable(record) else record
         parts.append(record)
         size += len(record)
-        if size >= SEGMENT:
+        if size >= segment:
             yield pd.DataFrame({"value": [b"".join(parts)[:-1].decode("utf-8", "replace")]})
             parts, number = [], number + 1
     if parts:
@@ -71,7 +71,7 @@ def _write(rows: DataFrame, path: str) -> None:
     rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
-def write_arc(pages: DataFrame, path: str) -> None:
+def write_arc(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     """Store (page_id, url, html) rows as ARC segments, version 1 and 2 in turn. Null html: empty; null url: unknown."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +85,7 @@ def write_arc(pages: DataFrame, path: str) -> None:
             url = quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else "unknown:"
             return lambda at, number: _header_line("12"[number % 2], url, "0.0.0.0", DATE, "text/html", body, at, f"{number}.arc").encode() + body + b"\n"
 
-        yield from _segments((one(*r) for pdf in batches for r in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True)), opening)
+        yield from _segments((one(*r) for pdf in batches for r in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True)), opening, segment)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     _write(rows.mapInPandas(run, "value string"), path)
