@@ -15,7 +15,7 @@ from .operators.cube import Cube
 from .plans import graph as pg
 from .sinks import files
 from .sources import adapters as src
-from .sources import items, synthetic, tables
+from .sources import items, swath, synthetic, tables
 from .streaming import periods
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -609,6 +609,15 @@ def _(spark, sf):
     return sp.nearest_lookup(c, BIN_GRID, ["c_acctbal"], 60.0, x="c_custkey", y="v")
 
 
+@query("swath_binning", """WITH p AS (SELECT *, (user_id % 200) / 10.0::DOUBLE AS lon, (event_id % 160) / 10.0::DOUBLE AS lat FROM events WHERE event_type <> 'error' AND ts >= '2024-01-05' AND ts < '2024-01-20')
+SELECT date_trunc('day', ts)::TIMESTAMP AS t, (floor((16 - lat) / 2))::INT AS y, (floor(lon / 2.5::DOUBLE))::INT AS x, round(avg(value), 6) AS value FROM p
+WHERE lon BETWEEN 1 AND 15 AND lat BETWEEN 1 AND 15 AND floor((16 - lat) / 2) BETWEEN 0 AND 7 AND floor(lon / 2.5::DOUBLE) BETWEEN 0 AND 7 GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    e = src.table(spark, sf, "events").withColumns({"lon": F.col("user_id") % 200 / 10, "lat": F.col("event_id") % 160 / 10, "good": F.col("event_type") != "error"})
+    grid = GridSpec("index", 0.0, 16.0, 2.5, 2.0, 8, 8)
+    return swath.load(e, grid, ["value"], time="ts", start="2024-01-05", end="2024-01-20", extent=(1, 1, 15, 15), quality="good", minimum=True)
+
+
 @query("mercator_tiles", """WITH c AS (SELECT c_custkey, (c_custkey % 360 - 180)::DOUBLE AS lon, (c_custkey % 160 - 80)::DOUBLE AS lat FROM customer)
 SELECT c_custkey, least(greatest(floor((lon + 180) / 360 * 256), 0), 255)::INT AS tx,
   least(greatest(floor((1 - ln(tan(pi() / 4 + radians(lat) / 2)) / pi()) / 2 * 256), 0), 255)::INT AS ty FROM c WHERE lon % 1.40625::DOUBLE <> 0""")

@@ -85,10 +85,10 @@ def aggregate_spatial(cube: Cube, feats: DataFrame, reducer: str | dict, target_
     keys = (["t"] if cube.meta.temporal else []) + ["feature_index"]
     inside = cube.df.join(cells_of(feats, cube.meta.grid), ["y", "x"])
     got = inside.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    if cube.meta.temporal:  # every date gets the same features: those of the request
-        own = feats.agg(F.collect_list("feature_index").alias("f"))
-        indices = own.first().f  # the request's features
-        spine = cube.df.select("t").distinct().withColumn("feature_index", F.explode(F.array(*[F.lit(i) for i in sorted(indices)])))
+    if cube.meta.temporal:  # one row with the cube's dates meets every feature
+        dates = cube.df.groupBy(F.lit(0).alias("_one")).agg(F.collect_set("t").alias("_dates"))
+        each = feats.select("feature_index", F.lit(0).alias("_one")).join(dates, "_one")
+        spine = each.select("feature_index", F.explode("_dates").alias("t"))
     else:
         spine = feats.select("feature_index")
     out = spine.join(got, keys, "left")

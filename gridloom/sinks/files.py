@@ -39,8 +39,8 @@ def as_json(cube: Cube) -> DataFrame:
 def save_result(cube: Cube, path: str, format: str = "parquet", partition: str | None = None, feature_cells: DataFrame | None = None) -> dict:
     """Write a cube and its metadata; returns what was written.
 
-    partition: "t" for a folder for each date, "band" for one for each band, "feature" with feature_cells
-    (feature_index, y, x) for one for each feature.
+    partition: "t" for a folder for each date, "band" for one for each band, "tile" for one for each tile of the grid,
+    "feature" with feature_cells (feature_index, y, x) for one for each feature.
     """
     cube, spark = cropped(cube), cube.df.sparkSession
     fmt = format.lower()
@@ -53,9 +53,12 @@ def save_result(cube: Cube, path: str, format: str = "parquet", partition: str |
         df = long_form(cube)
     elif partition == "feature":
         df = cube.df.join(feature_cells, ["y", "x"])
+    elif partition == "tile":
+        size = cube.meta.grid.tile
+        df = cube.df.withColumns({"tile_row": F.floor(F.col("y") / size).cast("int"), "tile_col": F.floor(F.col("x") / size).cast("int")})
     writer = df.write.mode("errorifexists")
     if partition:
-        writer = writer.partitionBy({"feature": "feature_index"}.get(partition, partition))
+        writer = writer.partitionBy(*{"feature": ["feature_index"], "tile": ["tile_row", "tile_col"]}.get(partition, [partition]))
     writer = writer.option("header", True) if fmt == "csv" else writer
     (writer.format(fmt)).save(f"{path}/data")
     spark.createDataFrame([(json.dumps(cube.meta.to_dict()),)], "value string").coalesce(1).write.text(f"{path}/metadata")
