@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def scratch_root(spark: SparkSession) -> str:
         return shared.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
-        _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        folder = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_scratch[app] = "file://" + folder
     return _own_scratch[app]
 
 
