@@ -280,8 +280,11 @@ class Compiler:
             x, y = (a["x"], a["y"]) if "x" in a else (a["value"], a["expression"])
             return elementwise(_BINARY[process])(x, y)
         if process in ARRAY_REDUCERS:
-            if process == "count" and a.get("condition") is True and isinstance(a["data"], (Arr, Series)):
+            if process == "count" and a.get("condition") is True:  # all elements
                 a["data"] = elementwise(lambda c: F.coalesce(c, F.lit(0.0)))(a["data"])
+            elif process == "count" and isinstance(a.get("condition"), dict):
+                test = lambda c: Compiler(as_graph(a["condition"]), self.parameters | {"x": c}).result()
+                a["data"] = elementwise(lambda c: F.when(test(c), F.lit(1.0)))(a["data"])
             return reducer(process)(a["data"])
         if process == "power":
             return elementwise(lambda x, p: F.pow(x, p))(a.get("base", a.get("x")), a["p"])

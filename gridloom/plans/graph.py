@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import geometry as geo
 from ..functions.callback import as_graph
-from ..model import ProcessParameterInvalid, ProcessUnsupported
+from ..model import FeatureUnsupported, ProcessParameterInvalid, ProcessUnsupported
 from ..operators import spatial
 from ..operators.cube import Cube
 from ..sinks import files
@@ -137,6 +137,25 @@ def _reducer(v: Any) -> str | dict:
     return graph
 
 
+def _udf(callback: Any) -> dict | None:
+    """The arguments of a callback that is one run_udf node."""
+    graph = as_graph(callback) if isinstance(callback, dict) else {}
+    nodes = [n for n in graph.values() if isinstance(n, dict) and n.get("process_id") == "run_udf"]
+    if not nodes:
+        return None
+    if len(graph) > 1:
+        raise FeatureUnsupported("a user function among other processes in a callback")
+    return nodes[0]["arguments"]
+
+
+def _tiles(cube: Cube, a: dict, udf_args: dict, **options: Any) -> Cube:
+    from .. import udf
+
+    context = udf_args.get("context")
+    context = a.get("context") if context is None or context == {"from_parameter": "context"} else context
+    return udf.apply_tiles(cube, udf_args["udf"], context=context, **options)
+
+
 @process("load_collection")
 def _load(e, a):
     extent = tuple(a["temporal_extent"]) if a.get("temporal_extent") else None
@@ -223,19 +242,70 @@ def _dimension_labels(e, a):
 
 @process("apply")
 def _apply(e, a):
+    if own := _udf(a["process"]):
+        return _tiles(a["data"], a, own, per_date=True)
     return a["data"].apply(a["process"], a.get("context"))
 
 
 @process("apply_dimension")
 def _apply_dimension(e, a):
+    if own := _udf(a["process"]):
+        return _tiles(a["data"], a, own)
     return a["data"].apply_dimension(a["dimension"], a["process"], a.get("target_dimension"), a.get("context"))
 
 
 @process("reduce_dimension")
 def _reduce_dimension(e, a):
+    if own := _udf(a["reducer"]):
+        return _reduced(_tiles(a["data"], a, own), a["data"].meta.kind_of(a["dimension"]))
     return a["data"].reduce_dimension(a["dimension"], a["reducer"], a.get("context"))
 
 
+def _reduced(cube: Cube, kind: str) -> Cube:
+    """A function that reduced time leaves rows without dates."""
+    return cube.drop_dimension("t") if kind == "t" and cube.meta.temporal else cube
+
+
+def _pixels(size: list[dict], dimension: str) -> int:
+    found = [d for d in size if d["dimension"] == dimension]
+    if any(d.get("unit", "px") != "px" for d in found):
+        raise ProcessParameterInvalid("sizes of neighbourhoods are in pixels")
+    return int(found[0]["value"]) if found else 0
+
+
+@process("apply_neighborhood")
+def _apply_neighborhood(e, a):
+    size, overlap = a["size"], a.get("overlap") or []
+    side, margin = _pixels(size, "x"), _pixels(overlap, "x")
+    times = [d["value"] for d in size if d["dimension"] == "t"]
+    own = _udf(a["process"])
+    if own:
+        if side < 4:
+            raise ProcessParameterInvalid("tiles of fewer than 4 cells")
+        return _tiles(a["data"], a, own, tile=side, per_date=times == ["P1D"])
+    if side <= 1 and times and times != ["P1D"]:
+        period = {"day": "day", "week": "week", "month": "month", "season": "season", "year": "year", "dekad": "dekad"}.get(times[0])
+        if period is None:
+            raise ProcessParameterInvalid(f"period {times[0]}")
+        return a["data"].apply_period(period, a["process"])
+    return spatial.apply_neighborhood(a["data"], a["process"], side, margin)
+
+
+@process("apply_polygon")
+def _apply_polygon(e, a):
+    own = _udf(a["process"])
+    if not own:
+        raise FeatureUnsupported("apply_polygon runs functions only")
+    from .. import udf
+
+    code = own["udf"]
+    run = lambda pdf: udf.compile_code(code, ("apply_polygon", "apply_frame", "transform"))[1](pdf)
+    return spatial.apply_polygon(a["data"], _features(e, a.get("geometries", a.get("chunks"))), run, a.get("mask_value"))
+
+
+PROCESSES["chunk_polygon"] = lambda e, a: _apply_polygon(e, a | {"process": a.get("process", a.get("reducer"))})
+
+
 @process("aggregate_temporal")
 def _aggregate_temporal(e, a):
     flat = a["intervals"]

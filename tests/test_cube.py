@@ -207,6 +207,28 @@ def test_process_graph_with_macro_and_errors(spark, sf):
         tables.load_collection(spark, "nowhere")
 
 
+def test_user_functions_in_graphs(spark):
+    load = {"process_id": "load_collection", "arguments": {"id": "testing", "featureflags": {"extent": [0, 0, 2, 2], "start": "2021-01-01", "end": "2021-02-01", "bands": ["Day"]}}}
+
+    def run(pid, **arguments):
+        return pg.evaluate(spark, {"l": load, "r": {"process_id": pid, "arguments": {"data": {"from_node": "l"}} | arguments, "result": True}}).df
+
+    code = lambda text: {"process_graph": {"u": {"process_id": "run_udf", "arguments": {"data": X, "udf": text, "runtime": "Python", "context": {"k": 3}}, "result": True}}}
+    assert {r.Day for r in run("apply", process=code("def apply_datacube(a, c):\n    return a * c['k']")).collect()} == {15.0, 45.0, 75.0}
+    assert {r.Day for r in run("reduce_dimension", dimension="t", reducer=code("def apply_datacube(a, c):\n    return a.max(axis=0)")).collect()} == {25.0}
+    size = [{"dimension": "x", "value": 4, "unit": "px"}, {"dimension": "y", "value": 4, "unit": "px"}]
+    assert run("apply_neighborhood", size=size, process=code("def apply_datacube(a, c):\n    return a + 1")).count() == 192
+    with pytest.raises(m.ProcessParameterInvalid):
+        run("apply_neighborhood", size=[{"dimension": "x", "value": 2, "unit": "px"}], process=code("def apply_datacube(a, c):\n    return a"))
+    box = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]]}
+    got = run("chunk_polygon", chunks=box, mask_value=-1, reducer=code("def transform(df):\n    return df.assign(Day=df['Day'] * 0)")).groupBy("Day").count().collect()
+    assert {r.Day: r["count"] for r in got} == {0.0: 48, -1.0: 144}
+    window = run("apply_neighborhood", size=[{"dimension": "x", "value": 1}, {"dimension": "t", "value": "month"}], process={"process_graph": {"s": {"process_id": "sum", "arguments": {"data": DATA}, "result": True}}})
+    assert {r.Day for r in window.collect()} == {45.0}
+    some = {"process_graph": {"c": {"process_id": "count", "arguments": {"data": DATA, "condition": {"process_graph": {"g": {"process_id": "gt", "arguments": {"x": X, "y": 10}, "result": True}}}}, "result": True}}}
+    assert {r.Day for r in run("reduce_dimension", dimension="t", reducer=some).collect()} == {2.0}
+
+
 @pytest.mark.parametrize("process", ["atmospheric_correction", "resolution_merge", "corsa_compress", "corsa_decompress"])
 def test_sensor_processes_are_refused(three_dates, process):
     with pytest.raises(m.FeatureUnsupported):
