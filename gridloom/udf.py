@@ -75,7 +75,8 @@ def apply_tiles(cube: Cube, fn: Callable[..., np.ndarray] | str, tile: int | Non
         t, y, x = np.nonzero(~np.isnan(got).all(axis=1))
         out = pd.DataFrame({"y": (y + y0).astype("int32"), "x": (x + x0).astype("int32")})
         if times[0] is not None or temporal:
-            out.insert(0, "t", [times[i] if times[i] is not None else pd.NaT for i in t])
+            dates = [times[i] if times[i] is not None else pd.NaT for i in t]
+            out.insert(0, "t", pd.Series(dates, dtype="datetime64[us]"))
         for i, b in enumerate(names):
             out[b] = got[t, i, y, x]
         return out
