@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +112,7 @@ def pack(
 
     Every id of every row lies in exactly one piece; the pieces of a sequence cover it from 0 without gaps. A null
     text counts as empty (the end id alone); rows that repeat are packed once each; extra columns are ignored; an
-    empty table gives no rows. Rows are dealt to shards by their place in the input, so equal rows spread evenly.
+    empty table gives no rows. Equal rows spread evenly over the shards.
     """
     text_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -121,16 +123,20 @@ def pack(
     kind, width = ("<u2", 2) if tokenizer is None and end_id < 1 << 16 else ("<u4", 4)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task, row = encoder(tokenizer, ranks), TaskContext.get().partitionId(), 0
+        """place: a hash of the task, the piece and, for pieces that repeat in a task, their number; so a task that is run
+        again deals its pieces alike, whatever order its rows come in."""
+        encode, task, seen = encoder(tokenizer, ranks), TaskContext.get().partitionId(), Counter()
         for pdf in batches:
             for i in range(0, len(pdf), 256):
                 part, out = pdf.iloc[i : i + 256], []
                 for doc, ids in zip(part["doc_id"], encode(part["text"].tolist()), strict=True):
                     ids = np.array([*ids, end_id], kind)
                     for start in range(0, len(ids), length):
-                        out.append((doc, start, len(ids), (task << 40) | row, ids[start : start + length].tobytes()))
-                        row += 1
-                yield pd.DataFrame(out, columns=["doc_id", "start", "doc_tokens", "place", "ids"])
+                        piece = ids[start : start + length].tobytes()
+                        place = xxhash.xxh64_intdigest(b"%d|%s|%d|" % (task, str(doc).encode(), start) + piece) >> 20
+                        seen[place] += 1
+                        out.append((doc, start, len(ids), (place << 19) | min(seen[place], (1 << 19) - 1), piece))
+                yield pd.DataFrame(out, columns=["doc_id", "start", "doc_tokens", "place", "ids"]).astype({"doc_id": "Int64"})
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place", kind="stable")
