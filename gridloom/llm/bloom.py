@@ -10,7 +10,7 @@ only sends some unique rows along with the repeated ones.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,18 +50,23 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.uint8)
 
 
-def repeated_filter(df: DataFrame, key: str, n_keys: int) -> tuple[int, Broadcast]:
-    """(bits, broadcast bitmap of cells set at least twice) over the 64-bit integer column ``key`` of df.
+def repeated_filter(df: DataFrame, key: str | Callable[[pd.DataFrame], np.ndarray], n_keys: int) -> tuple[int, Broadcast]:
+    """(bits, broadcast bitmap of cells set at least twice) over the 64-bit integer keys of df.
 
-    Null keys are skipped. An empty table gives an empty filter. n_keys sizes the filter; a wrong count costs
-    only precision. The broadcast is at most MAX_BITS / 8 bytes.
+    key: a column, in which nulls are skipped, or a function from a frame of df's rows to its keys. An empty table
+    gives an empty filter. n_keys sizes the filter; a wrong count costs only precision. The broadcast is at most
+    MAX_BITS / 8 bytes.
     """
     bits = filter_bits(n_keys)
+    if isinstance(key, str):
+        df, keys_of = df.select(F.col(key).cast("long").alias("k")), lambda pdf: pdf["k"].dropna().to_numpy(np.int64)
+    else:
+        keys_of = key
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for pdf in batches:
-            keys = pdf["k"].dropna().to_numpy(np.int64)
+            keys = keys_of(pdf)
             # the hashes of one key may coincide, which counts as a second setting: a false positive at worst
             cell, n = np.unique(cells(keys, bits), return_counts=True)
             byte, mask = (cell >> np.uint64(3)).astype(np.int64), (128 >> (cell & np.uint64(7)).astype(np.int64)).astype(np.uint8)
@@ -82,7 +87,7 @@ def repeated_filter(df: DataFrame, key: str, n_keys: int) -> tuple[int, Broadcas
         return head.assign(once=[_pack(once)], again=[_pack(again)])
 
     schema = "block int, once binary, again binary"
-    parts = df.select(F.col(key).cast("long").alias("k")).mapInPandas(fill, schema)
+    parts = df.mapInPandas(fill, schema)
     parts = parts.withColumn("part", F.spark_partition_id() % (MERGE_WIDTH + n_keys // KEYS_A_GROUP))
     parts = parts.groupBy("block", "part").applyInPandas(lambda pdf: merge(pdf), schema)
     parts = parts.groupBy("block").applyInPandas(lambda pdf: merge(pdf), schema)

@@ -65,8 +65,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = docs.select(F.struct("*").alias("row"), F.sha2(lower_ascii(F.col(text_col)), 256).alias("key")).withColumn(
         "h", F.xxhash64("key")
     )
-    hashes = materialize(keyed.select("h"), "exact-h")
-    filt = repeated_filter(hashes, "h", hashes.count())
+    filt = repeated_filter(keyed, "h", docs.count())
     probed = keyed.withColumn("again", maybe_repeated(F.col("h"), filt))
     straight = probed.where(~F.col("again")).select("row.*")
     order = F.struct(

@@ -103,13 +103,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     text_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [d for t in pdf["text"] for d, _ in chunks(payload_of(t)[0])]
-            yield pd.DataFrame({"h": _keys(found)})
+    def keys(pdf: pd.DataFrame) -> np.ndarray:
+        return _keys([d for t in pdf["text"] for d, _ in chunks(payload_of(t)[0])])
 
-    own = materialize(src.select("text").mapInPandas(hashes, "h long"), "chunk-hashes")
-    bits, bitmap = repeated_filter(own, "h", own.count())
+    n_rows, n_bytes = src.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bits, bitmap = repeated_filter(src.select("text"), keys, n_rows + n_bytes // (1 << CUT_BITS))
 
     def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3).compress

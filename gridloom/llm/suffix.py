@@ -198,12 +198,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     full = copies.select("key", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))).alias("spans"))
     full = materialize(full, "copied")
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"h": anchors([utf8(t) for t in pdf["text"]], length)[1]})
+    def keys(pdf: pd.DataFrame) -> np.ndarray:
+        return anchors([utf8(t) for t in pdf["text"]], length)[1]
 
-    own = materialize(src.mapInPandas(hashes, "h long"), "anchors")
-    bits, bitmap = repeated_filter(own, "h", own.count())
+    n_bytes = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits, bitmap = repeated_filter(src, keys, int(n_bytes) * 2 // (length - GRAM))
 
     def flagged(pdf: pd.DataFrame, seen: set[bytes], bits: int, bitmap: bytes) -> tuple[list, list, list, list, list, list]:
         """Entries of texts not seen before in this task whose anchor tests positive: key, gram, first, size, digest, body."""
