@@ -156,7 +156,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     own = own.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.join(text, F.col("doc_id") == F.col("id")).select("text", "toxic")
+    # at most ``rows`` pairs of numbers: texts are read where they lie
+    return text.join(F.broadcast(own), F.col("doc_id") == F.col("id")).select("text", "toxic")
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -178,7 +179,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
             keys = list(clean.keys() | pairs.keys())
             yield pd.DataFrame({"p": keys, "clean": [clean[k] for k in keys], "pairs": [list(pairs.get(k, ())) for k in keys]})
 
-    counts = rows.mapInPandas(count, "p string, clean long, pairs array<long>")
+    counts = materialize(rows.mapInPandas(count, "p string, clean long, pairs array<long>"), "patterns")
     contexts = counts.select("p", F.explode("pairs").alias("c")).distinct().groupBy("p").agg(F.count("*").alias("toxic"))
     contexts = contexts.where(f"toxic >= {MIN_SUPPORT}")
     found = counts.groupBy("p").agg(F.sum("clean").alias("clean")).join(contexts, "p")
