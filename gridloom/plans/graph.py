@@ -450,6 +450,14 @@ def _save(e, a):
     return a["data"]
 
 
+@process("export_workspace")
+def _export(e, a):
+    """Write a cube to a workspace folder and pass it on."""
+    data = a["data"]
+    e.saved.append(files.save_result(data, a["workspace"]) if isinstance(data, Cube) else files.save_features(data, a["workspace"]))
+    return data
+
+
 @process("discard_result")
 def _discard(e, a):
     return a["data"]

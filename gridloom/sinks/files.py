@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import FormatUnsupported
@@ -65,6 +65,13 @@ def save_result(cube: Cube, path: str, format: str = "parquet", partition: str |
     return {"path": f"{path}/data", "format": fmt, "bands": cube.bands}
 
 
+def export_result(spark: SparkSession, path: str, target: str, merge: bool = False) -> None:
+    """Copy a result that was saved as Parquet to another folder; merge adds to what is there and keeps its metadata."""
+    spark.read.parquet(f"{path}/data").write.mode("append" if merge else "errorifexists").parquet(f"{target}/data")
+    if not merge:
+        spark.read.text(f"{path}/metadata").coalesce(1).write.text(f"{target}/metadata")
+
+
 def save_features(table: DataFrame, path: str, format: str = "parquet") -> None:
     """Zonal statistics or features as Parquet, CSV, JSON lines or coverage JSON."""
     fmt = format.lower()

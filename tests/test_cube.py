@@ -247,6 +247,10 @@ def test_save_and_load(spark, three_dates, tmp_path):
     files.save_result(three_dates, str(tmp_path / "a"))
     back = tables.load_result(spark, str(tmp_path / "a"), temporal_extent=("2017-01-01", None))
     assert back.df.count() == 50 and back.bands == ["b"]
+    files.export_result(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    files.export_result(spark, str(tmp_path / "a"), str(tmp_path / "b"), merge=True)
+    assert tables.load_result(spark, str(tmp_path / "b")).df.count() == 150
+    files.save_result(three_dates, str(tmp_path / "t"), partition="tile")
     out = files.save_result(three_dates, str(tmp_path / "j"), "json")
     assert out["format"] == "json"
     import json
