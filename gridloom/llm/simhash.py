@@ -131,7 +131,8 @@ def _links(unique: DataFrame) -> DataFrame:
             us, vs = [], []
             for fps in pdf["fps"]:
                 fps = np.sort(np.asarray(fps, np.int64))
-                far = np.bitwise_count(fps[:, None] ^ fps[None, :])
+                bits = fps.view(np.uint64)  # of signed numbers bitwise_count takes the absolute value
+                far = np.bitwise_count(bits[:, None] ^ bits[None, :])
                 i, j = np.nonzero(np.triu(far <= MAX_DISTANCE, 1))
                 us.append(fps[i])
                 vs.append(fps[j])

@@ -102,6 +102,16 @@ def test_dense_keys_link_without_pairs(spark, monkeypatch):
     assert results[0] == results[1] and len(set(results[0].values())) == 1
 
 
+def test_sparse_keys_link_all_two_bit_flips(spark):
+    rng = np.random.default_rng(6)
+    flips = [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
+    bases = rng.integers(0, 1 << 64, len(flips), np.uint64).tolist()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = {tuple(sorted((signed(b), signed(b ^ f)))) for b, f in zip(bases, flips, strict=True)}
+    df = spark.createDataFrame([(x,) for p in pairs for x in p], "fp long")
+    assert len(pairs) == 2016 and {(r.u, r.v) for r in simhash._links(df).collect()} == pairs
+
+
 def test_simhash_edges(docs, none):
     got = simhash.near_components(docs).collect()
     assert len(got) == len(rows())
