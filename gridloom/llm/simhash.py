@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, materialize, text_batches, utf8
@@ -242,8 +242,8 @@ def _forest(fps: np.ndarray, ids: np.ndarray, split: int | None) -> tuple[list[i
     return us, vs
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(fp, least, component_id): each distinct wide fingerprint, its least id and the least id of its group.
+def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(tid, root, n_rows): each distinct text (by its MD5), its group and how many rows of docs have the text.
 
     Texts whose shingle sets are similar to about 0.8 or more, as estimated from 256 SimHash bits, are linked.
     Pairs are looked for under keys of one Golay codeword index (six segments, up to six indices each) joined
@@ -254,14 +254,14 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for pdf in batches:
             found = [wide_fingerprint(t, shingle) for t in pdf["text"]]
             yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "fp": [f.tobytes() for f, _ in found], "guards": [g.tobytes() for _, g in found]}
+                {"tid": pdf["tid"], "fp": [f.tobytes() for f, _ in found], "guards": [g.tobytes() for _, g in found]}
             )
 
     text_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = materialize(src.mapInPandas(read, "doc_id long, fp binary, guards binary"), "wide")
+    src = docs.select(_text_id(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
+    fps = materialize(src.mapInPandas(read, "tid string, fp binary, guards binary"), "wide")
     unique = materialize(
-        fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("guards").alias("guards"))
+        fps.groupBy("fp").agg(F.min("guards").alias("guards"))
         .withColumn("node", F.xxhash64("fp")), "wide-unique",
     )
 
@@ -313,26 +313,33 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .distinct()
     )
     roots = components(edges)
-    placed = materialize(
-        unique.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "wide-roots"
-    )
-    least = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "wide-least")
-    return placed.join(least, "root").select("fp", "least", "component_id")
+    placed = materialize(unique.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")), "wide-roots")
+    texts = fps.groupBy("tid").agg(F.first("fp").alias("fp"), F.count("*").alias("n_rows"))
+    return texts.join(placed, "fp").select("tid", "root", "n_rows")
+
+
+def _text_id(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """docs with one row of each group of near copies (see near_copy_groups): its least id; all columns kept.
 
     Null and wordless texts form one group. Rows with an equal id are told apart by their other columns; of
-    wholly equal rows one stays. Rows with a null id stay only if their group has no other row.
+    wholly equal rows one stays. A row with a null id comes after all others of its group. Texts, not ids, say
+    which group a row belongs to; rows that are alone in their group are not shuffled.
     """
-    groups = near_copy_groups(docs, id_col, text_col, shingle)
-    keep = groups.select(F.col("component_id").alias("keep")).distinct()
-    order = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != id_col])
-    kept = docs.select(F.struct("*").alias("row")).join(
-        keep, F.col(f"row.`{id_col}`").eqNullSafe(F.col("keep")), "left_semi"
+    groups = materialize(near_copy_groups(docs, text_col, shingle), "near-texts")
+    several = materialize(groups.groupBy("root").agg(F.sum("n_rows").alias("n")).where("n > 1").select("root"), "near-several")
+    grouped = materialize(groups.join(several, "root").select("tid", "root"), "near-grouped")
+    rows = docs.select(F.struct("*").alias("row"), _text_id(F.col(text_col)).alias("tid")).join(grouped, "tid", "left")
+    order = F.struct(
+        F.col(f"row.`{id_col}`").isNull(),
+        F.col(f"row.`{id_col}`"),
+        F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != id_col]),
     )
-    return kept.groupBy(F.col(f"row.`{id_col}`").alias("id")).agg(F.min_by("row", order).alias("row")).select("row.*")
+    best = rows.where("root IS NOT NULL").groupBy("root").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return rows.where("root IS NULL").select("row.*").unionByName(best)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -125,6 +125,12 @@ def test_simhash_edges(docs, none):
     assert simhash.near_components(none).count() == simhash.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_keep_other_texts_of_null_and_repeated_ids(docs):
+    kept = Counter((r.doc_id, lower(r.text)) for r in simhash.drop_near_copies(docs).collect())
+    wanted = [(i, lower(t)) for i, t, *_ in rows() if i == 14 or (i is None and t)]
+    assert len(wanted) == 3 and all(kept[w] == 1 for w in wanted) and (None, "") not in kept
+
+
 def test_near_copies_at_similarity(spark, monkeypatch):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
