@@ -201,26 +201,38 @@ def _mix(a: np.ndarray, salt: int) -> np.ndarray:
     return a ^ (a >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(WIDE words of SimHash bits, GUARDS least word hashes) of a whole text; both zero without words."""
-    words = utf8(text).translate(LOWER_BYTES).split()
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; fewer words: all of them; no words: none."""
     if not words:
-        return np.zeros(WIDE, np.uint64), np.zeros(GUARDS, np.uint64)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64)
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64))
+
+
+def set_id(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(id of the shingle set, WIDE words of its SimHash bits, GUARDS least word hashes); the last two zero without words."""
+    words = utf8(text).translate(LOWER_BYTES).split()
+    h = shingle_set(words, shingle)
+    if not words:
+        return set_id(h), np.zeros(WIDE, np.uint64), np.zeros(GUARDS, np.uint64)
+    digest = xxhash.xxh64_intdigest
     ones = np.zeros((WIDE, 64), np.int64)
-    for i in range(0, n, 1 << 14):
+    for i in range(0, len(h), 1 << 14):
         for w in range(WIDE):
             part = _mix(h[i : i + (1 << 14)], w + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
             ones[w] += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    fp = np.packbits(ones * 2 > n, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    fp = np.packbits(ones * 2 > len(h), axis=1).view(">u8").reshape(-1).astype(np.uint64)
     own = np.fromiter((digest(w, 7) for w in set(words)), np.uint64)
-    return fp, np.array([_mix(own, 100 + g).min() for g in range(GUARDS)], np.uint64)
+    return set_id(h), fp, np.array([_mix(own, 100 + g).min() for g in range(GUARDS)], np.uint64)
 
 
 def _forest(fps: np.ndarray, ids: np.ndarray, split: int | None) -> tuple[list[int], list[int]]:
@@ -254,16 +266,13 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
         for pdf in batches:
             found = [wide_fingerprint(t, shingle) for t in pdf["text"]]
             yield pd.DataFrame(
-                {"tid": pdf["tid"], "fp": [f.tobytes() for f, _ in found], "guards": [g.tobytes() for _, g in found]}
+                {"tid": pdf["tid"], "node": [i for i, *_ in found], "fp": [f.tobytes() for _, f, _ in found], "guards": [g.tobytes() for *_, g in found]}
             )
 
     text_batches(docs.sparkSession)
     src = docs.select(_text_id(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
-    fps = materialize(src.mapInPandas(read, "tid string, fp binary, guards binary"), "wide")
-    unique = materialize(
-        fps.groupBy("fp").agg(F.min("guards").alias("guards"))
-        .withColumn("node", F.xxhash64("fp")), "wide-unique",
-    )
+    fps = materialize(src.mapInPandas(read, "tid string, node long, fp binary, guards binary"), "wide")
+    unique = materialize(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("guards").alias("guards")), "wide-unique")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -287,7 +296,7 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
     members = keyed.join(shared, "key").join(unique.select("node", "fp"), "node")
     # a bucket of t tiles becomes t * (t + 1) / 2 pairs of tiles, each compared by one task
     members = members.withColumn("t", F.ceil(F.col("n") / TILE)).withColumn(
-        "mine", F.when(F.col("t") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("t")))
+        "mine", F.when(F.col("t") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("t")))
     )
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
     members = members.select(
@@ -313,9 +322,9 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
         .distinct()
     )
     roots = components(edges)
-    placed = materialize(unique.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")), "wide-roots")
-    texts = fps.groupBy("tid").agg(F.first("fp").alias("fp"), F.count("*").alias("n_rows"))
-    return texts.join(placed, "fp").select("tid", "root", "n_rows")
+    placed = materialize(unique.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "wide-roots")
+    texts = fps.groupBy("tid").agg(F.first("node").alias("node"), F.count("*").alias("n_rows"))
+    return texts.join(placed, "node").select("tid", "root", "n_rows")
 
 
 def _text_id(text: Column) -> Column:

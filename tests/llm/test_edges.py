@@ -131,6 +131,15 @@ def test_near_copies_keep_other_texts_of_null_and_repeated_ids(docs):
     assert len(wanted) == 3 and all(kept[w] == 1 for w in wanted) and (None, "") not in kept
 
 
+def test_near_copies_ignore_repeats_of_a_line(spark):
+    rng = random.Random(10)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    line, text = own(7) + " ", own(200) + " "
+    out = [(1, line * 40 + own(100)), (2, line * 40 + own(100)), (3, text + line * 2), (4, text + line * 20)]
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == [1, 2, 3]
+
+
 def test_near_copies_at_similarity(spark, monkeypatch):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
