@@ -182,23 +182,17 @@ def near_components(
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near copies by similarity: wide fingerprints for texts that share 0.8 of their five-word shingles
+# --- near copies by similarity: texts that share 0.8 of their five-word shingles, exactly
 
 
-WIDE = 4
-WIDE_SEGMENTS = tuple((64 * w + at, n) for w in range(2) for at, n in SEGMENTS)
-#: Differing bits of 256 up to which two wide fingerprints count as a similarity of about 0.8 or more: at a Jaccard
-#: similarity J of shingles, angle arccos(2J / (1 + J)), 39 bits are expected at 0.8 and 49 at 0.7.
-WIDE_DISTANCE = 46
-#: Rows of a bucket compared in one task; larger buckets are compared tile by tile.
-TILE = 2048
-GUARDS = 4
-
-
-def _mix(a: np.ndarray, salt: int) -> np.ndarray:
-    a = (a ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-    a = (a ^ (a >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return a ^ (a >> np.uint64(31))
+#: Members of a key up to which its pairs are listed; larger keys are linked by representatives, then tile by tile.
+NEAR_DENSE = 32
+#: Rows of a large key compared in one task; larger ones are compared tile by tile.
+TILE = 512
+REPRESENTATIVES = 8
+#: One text of SAMPLE is read to find common shingles: in SAMPLE_SHARE or more of those, at most COMMON. They come last in
+#: the order of shingles, which saves work; any order gives the same groups.
+SAMPLE, SAMPLE_SHARE, COMMON = 64, 4, 1 << 17
 
 
 def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
@@ -218,113 +212,152 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(id of the shingle set, WIDE words of its SimHash bits, GUARDS least word hashes); the last two zero without words."""
-    words = utf8(text).translate(LOWER_BYTES).split()
-    h = shingle_set(words, shingle)
-    if not words:
-        return set_id(h), np.zeros(WIDE, np.uint64), np.zeros(GUARDS, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros((WIDE, 64), np.int64)
-    for i in range(0, len(h), 1 << 14):
-        for w in range(WIDE):
-            part = _mix(h[i : i + (1 << 14)], w + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones[w] += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    fp = np.packbits(ones * 2 > len(h), axis=1).view(">u8").reshape(-1).astype(np.uint64)
-    own = np.fromiter((digest(w, 7) for w in set(words)), np.uint64)
-    return set_id(h), fp, np.array([_mix(own, 100 + g).min() for g in range(GUARDS)], np.uint64)
-
-
-def _forest(fps: np.ndarray, ids: np.ndarray, split: int | None) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the rows within WIDE_DISTANCE; split: only pairs across this position count."""
-    n = len(ids)
-    us, vs, left = [], [], np.arange(n)
-    while len(left):
-        stack, left = [left[0]], left[1:]
-        while stack and len(left):
-            i = stack.pop()
-            near = np.bitwise_count(fps[left] ^ fps[i]).sum(axis=1, dtype=np.int64) <= WIDE_DISTANCE
-            if split is not None:
-                near &= (left < split) != (i < split)
-            hit = left[near]
-            us += [int(ids[i])] * len(hit)
-            vs += ids[hit].tolist()
-            stack += hit.tolist()
-            left = left[~near]
+def prefix_size(n):
+    """Two sets of Jaccard similarity 0.8 or more share one of so many of their first elements, in any common order."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def ordered_prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first elements of a set, common shingles being last; common is sorted."""
+    if not len(shingles):
+        return shingles
+    late = np.isin(shingles, common)
+    return np.concatenate((shingles[~late], shingles[late]))[: prefix_size(len(shingles))]
+
+
+def similar(both, total):
+    """Whether sets of ``total`` elements together, of which ``both`` in each, have Jaccard similarity 0.8 or more."""
+    return 9 * both >= 4 * total
+
+
+def _words(text: str | None) -> list[bytes]:
+    return utf8(text).translate(LOWER_BYTES).split()
+
+
+def _common_shingles(src: DataFrame, shingle: int) -> np.ndarray:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingle_set(_words(t), shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)})
+
+    some = src.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLE)) == 0).select("text").mapInPandas(read, "h long")
+    top = some.groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {SAMPLE_SHARE}").orderBy(F.desc("n"), "h").limit(COMMON)
+    return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
+
+
+def _linked_rows(rows: list, split: bool) -> tuple[list[int], list[int]]:
+    """Edges that join the roots of all similar rows (mine, node, root, set); split: only rows of different ``mine`` are compared."""
+    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    mine, node = (np.array([r[c] for r in rows], np.int64) for c in ("mine", "node"))
+    root = np.unique(np.array([r["root"] for r in rows], np.int64), return_inverse=True)[1]
+    us, vs, own = [], [], np.zeros(flat.max() + 1, bool)
+    for i in np.flatnonzero(root != np.bincount(root).argmax()).tolist():  # of two roots, one is not the most frequent
+        at = flat[starts[i] : starts[i] + sizes[i]]
+        own[at] = True
+        hit = similar(np.add.reduceat(own[flat].astype(np.int64), starts), sizes + sizes[i]) & (root != root[i])
+        own[at] = False
+        if split:
+            hit &= mine != mine[i]
+        us += [int(node[i])] * int(hit.sum())
+        vs += node[hit].tolist()
+        root[np.isin(root, root[hit])] = root[i]
     return us, vs
 
 
 def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
     """(tid, root, n_rows): each distinct text (by its MD5), its group and how many rows of docs have the text.
 
-    Texts whose shingle sets are similar to about 0.8 or more, as estimated from 256 SimHash bits, are linked.
-    Pairs are looked for under keys of one Golay codeword index (six segments, up to six indices each) joined
-    with two least word hashes (two alternatives), which keep unrelated texts apart at any corpus size.
+    Texts are linked exactly if their shingle sets have Jaccard similarity 0.8 or more. Two such sets share a shingle
+    of their prefixes, the first fifth of each in one order of all shingles. Pairs that share enough of both prefixes
+    are compared as whole sets. A shingle in more than NEAR_DENSE prefixes links its members to representatives first;
+    only where that leaves several groups, its members are compared tile by tile.
     """
+    text_batches(docs.sparkSession)
+    src = docs.select(_text_id(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
+    common = _common_shingles(src, shingle)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [wide_fingerprint(t, shingle) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {"tid": pdf["tid"], "node": [i for i, *_ in found], "fp": [f.tobytes() for _, f, _ in found], "guards": [g.tobytes() for *_, g in found]}
-            )
+            found = [shingle_set(_words(t), shingle) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "tid": pdf["tid"], "node": [set_id(h) for h in found], "size": [len(h) for h in found],
+                "prefix": [ordered_prefix(h, common).astype(np.int64) for h in found],
+            })
+
+    texts = materialize(src.mapInPandas(read, "tid string, node long, size long, prefix array<long>"), "near-prefixes")
+    nodes = materialize(texts.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "near-nodes")
+    keyed = nodes.select("node", "size", F.explode("prefix").alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    members = materialize(keyed.join(shared, "key"), "near-members")
+    dense = members.where(f"n > {NEAR_DENSE}")
+    crowded = materialize(dense.groupBy("node").agg(F.count("*").alias("crowded")), "near-crowded")
+    few = members.where(f"n <= {NEAR_DENSE}").join(crowded, "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """need: shared keys of at most NEAR_DENSE members without which a pair cannot be similar."""
+        for pdf in batches:
+            out = [np.zeros((0, 3), np.int64)]
+            for rows in pdf["rows"]:
+                x = np.array(sorted((r["node"], r["size"], r["crowded"]) for r in rows), np.int64)
+                i, j = np.triu_indices(len(x), 1)
+                (u, a, c), (v, b, d) = x[i].T, x[j].T
+                # all that a pair shares beyond the prefix that ends first lies in the rest of that set
+                rest = np.maximum(a - prefix_size(a), b - prefix_size(b))
+                need = -(-4 * (a + b) // 9) - rest - np.minimum(c, d)
+                out.append(np.column_stack((u, v, need))[5 * np.minimum(a, b) >= 4 * np.maximum(a, b)])
+            yield pd.DataFrame(np.concatenate(out), columns=["u", "v", "need"])
+
+    listed = few.groupBy("key").agg(F.collect_list(F.struct("node", "size", "crowded")).alias("rows")).select("rows")
+    listed = listed.mapInPandas(pairs, "u long, v long, need long").groupBy("u", "v").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    salted = F.xxhash64("node", F.pmod("key", F.lit(REPRESENTATIVES)))
+    first = materialize(dense.groupBy("key").agg(F.min(F.struct(salted, "node")).getField("node").alias("v")), "near-first")
+    to_first = dense.join(first, "key").where("node != v").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
+    candidates = materialize(listed.where("n >= need").select("u", "v").union(to_first).distinct(), "near-candidates")
+    compared = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).union(crowded.select("node")).distinct()
+    wanted = texts.join(compared, "node").groupBy("node").agg(F.min("tid").alias("tid")).select("tid")
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingle_set(_words(t), shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"node": [set_id(h) for h in found], "shingles": [h.tobytes() for h in found]})
 
-    text_batches(docs.sparkSession)
-    src = docs.select(_text_id(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
-    fps = materialize(src.mapInPandas(read, "tid string, node long, fp binary, guards binary"), "wide")
-    unique = materialize(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("guards").alias("guards")), "wide-unique")
+    sets = src.join(wanted, "tid", "left_semi").select("text").mapInPandas(whole, "node long, shingles binary")
+    sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            words = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(-1, WIDE)
-            guards = np.frombuffer(b"".join(pdf["guards"]), np.uint64).reshape(-1, GUARDS)
-            node, out = pdf["node"].to_numpy(np.int64), []
-            for s, (at, n) in enumerate(WIDE_SEGMENTS):
-                part = (words[:, at // 64] >> np.uint64(at % 64)) & np.uint64((1 << n) - 1)
-                index = golay_indices(part.astype(np.int64))
-                row, col = np.nonzero(index >= 0)
-                for g in range(0, GUARDS, 2):
-                    guard = _mix(guards[row, g] ^ _mix(guards[row, g + 1], g), 200 + s)
-                    key = _mix(guard ^ index[row, col].astype(np.uint64), 300 + g)
-                    out.append(pd.DataFrame({"key": key.astype(np.int64), "node": node[row]}))
-            yield pd.concat(out)
-
-    keyed = materialize(unique.select("node", "fp", "guards").mapInPandas(emit, "key long, node long"), "wide-keys")
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-shared")
-    members = keyed.join(shared, "key").join(unique.select("node", "fp"), "node")
-    # a bucket of t tiles becomes t * (t + 1) / 2 pairs of tiles, each compared by one task
-    members = members.withColumn("t", F.ceil(F.col("n") / TILE)).withColumn(
-        "mine", F.when(F.col("t") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("t")))
-    )
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
-    members = members.select(
-        "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "node", "fp"
-    )
-
-    def compare(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            us, vs = [], []
-            for a, b, each in zip(pdf["a"], pdf["b"], pdf["rows"], strict=True):
-                each = sorted(each, key=lambda r: (r["mine"] != a, r["node"]))
-                fp = np.frombuffer(b"".join(r["fp"] for r in each), np.uint64).reshape(-1, WIDE)
-                ids = np.array([r["node"] for r in each], np.int64)
-                u, v = _forest(fp, ids, None if a == b else sum(r["mine"] == a for r in each))
-                us += u
-                vs += v
-            yield pd.DataFrame({"u": us, "v": vs}, dtype=np.int64)
-
-    edges = (
-        members.groupBy("key", "a", "b")
-        .agg(F.collect_list(F.struct("mine", "node", "fp")).alias("rows"))
-        .mapInPandas(compare, "u long, v long")
-        .distinct()
-    )
-    roots = components(edges)
-    placed = materialize(unique.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "wide-roots")
-    texts = fps.groupBy("tid").agg(F.first("node").alias("node"), F.count("*").alias("n_rows"))
-    return texts.join(placed, "node").select("tid", "root", "n_rows")
+            ok = []
+            for x, y in zip(pdf["x"], pdf["y"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                ok.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
+            yield pdf.loc[ok, ["u", "v"]]
+
+    both = candidates.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
+    edges = materialize(both.mapInPandas(confirm, "u long, v long"), "near-edges")
+    roots = materialize(components(edges), "near-roots")
+
+    placed = materialize(dense.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "near-dense")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    mixed = materialize(mixed, "near-mixed")
+    if not mixed.isEmpty():
+        # a key of t tiles becomes t * (t + 1) / 2 pairs of tiles, each compared by one task
+        tiled = placed.join(mixed, "key").withColumn("t", F.ceil(F.col("n") / TILE))
+        tiled = tiled.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("t")))
+        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1))).join(sets, "node")
+        tiled = tiled.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "node", "root", "shingles")
+
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            us, vs = _linked_rows(pdf.to_dict("records"), bool(pdf["a"].iloc[0] != pdf["b"].iloc[0]))
+            return pd.DataFrame({"u": us, "v": vs}, dtype=np.int64)
+
+        more = tiled.groupBy("key", "a", "b").applyInPandas(compare, "u long, v long").distinct()
+        roots = materialize(components(edges.union(more)), "near-roots")
+    found = texts.groupBy("tid").agg(F.first("node").alias("node"), F.count("*").alias("n_rows"))
+    return found.join(roots, "node", "left").select("tid", F.coalesce("root", "node").alias("root"), "n_rows")
 
 
 def _text_id(text: Column) -> Column:

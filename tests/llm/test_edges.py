@@ -140,6 +140,30 @@ def test_near_copies_ignore_repeats_of_a_line(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == [1, 2, 3]
 
 
+def test_near_copies_are_exactly_similar(spark, monkeypatch):
+    """Groups are the components of all pairs with Jaccard similarity of 0.8 or more, by sparse and by dense keys."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for _ in range(25):
+        own = [rng.choice(words) for _ in range(120)]
+        texts.append(own)
+        texts += [own + [rng.choice(words) for _ in range(n)] for n in (20, 27, 31, 38)]  # on both sides of the bound
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [group[i] if g == group[j] else g for g in group]
+    wanted = {min(i for i, g in enumerate(group) if g == k) for k in set(group)}
+    assert 25 < len(wanted) < 125
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for dense in (simhash.NEAR_DENSE, 1):
+        monkeypatch.setattr(simhash, "NEAR_DENSE", dense)
+        monkeypatch.setattr(simhash, "TILE", 2)
+        assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == wanted
+
+
 def test_near_copies_at_similarity(spark, monkeypatch):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
