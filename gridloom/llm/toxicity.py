@@ -108,8 +108,11 @@ class Model:
 
     def __post_init__(self):
         self.machine = ahocorasick.Automaton()
+        forms: dict[str, set[str]] = defaultdict(set)  # "=word" and "word*" have the same string
         for p in [*self.lexicon, *("=" + w for w in THREAT)]:
-            self.machine.add_word(p.strip("=*"), p)
+            forms[p.strip("=*")].add(p)
+        for string, found in forms.items():
+            self.machine.add_word(string, (string, sorted(found)))
         self.machine.make_automaton()
         self.lists = {w: kind for kind, ws in (("reported", REPORTED), ("target", TARGET), ("threat", THREAT), ("negation", NEGATION)) for w in ws}
 
@@ -122,12 +125,13 @@ class Model:
 
     def features(self, text: str | None) -> np.ndarray:
         low, clauses, starts = (text or "").lower(), {}, set()
-        for end, pattern in self.machine.iter(low):
-            start = end - len(pattern.strip("=*")) + 1
-            whole = pattern[0] == "="
-            if (start and low[start - 1].isalpha()) or (whole == (end + 1 < len(low) and low[end + 1].isalpha())):
+        for end, (string, found) in self.machine.iter(low):
+            start = end - len(string) + 1
+            whole = not (end + 1 < len(low) and low[end + 1].isalpha())
+            matched = [p for p in found if (p[0] == "=") == whole]
+            if (start and low[start - 1].isalpha()) or not matched:
                 continue
-            if pattern in self.lexicon:
+            if any(p in self.lexicon for p in matched):
                 starts.add(low[start : start + PREFIXES[0]])
             clauses[max(low.rfind(c, 0, start) for c in ".!?;:\n|")] = start
         if not clauses:

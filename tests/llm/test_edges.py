@@ -333,6 +333,15 @@ def test_toxicity(spark, docs, none):
     assert nothing.lexicon == {} and nothing.score("you moron") < 0.7
 
 
+def test_toxicity_keeps_both_forms_of_a_string():
+    plain = toxicity.Model({}).score("a foolish fellow")
+    for lexicon in ({"=fool": 3.0, "fool*": 3.0}, {"fool*": 3.0, "=fool": 3.0}, {"kill*": 3.0}):
+        model = toxicity.Model(lexicon)
+        word = "kill" if "kill*" in lexicon else "fool"
+        assert model.score(f"a {word}ish fellow") > plain and (word == "kill" or model.score("a fool") > plain)
+        assert word == "fool" or model.features("you kill")[1] > 0
+
+
 def test_grammar_weighs_clauses():
     w = lambda *kinds: toxicity.clause_weight([(k, 2.0 if k == "insult" else 1.0 if k == "threat" else 0.0) for k in kinds])[0]
     assert w("insult") == 2.0 and w("target", "insult") == 3.0
