@@ -222,9 +222,34 @@ def test_shards(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def default_tokenizer():
+    """The contract's yardstick: the tokenizer file as it is, no special tokens added."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_ids_are_the_tokenizer_files(spark):
+    """Thousands of awkward texts, among them the strings of added tokens, whole, cut and repeated."""
+    rng = random.Random(8)
+    bits = [
+        "<|endoftext|>", "<|endoftext", "|>", "<|", "endoftext", " ", "  ", "\t", "\n", "\r\n", "\u00a0", "\u3000", "\u200b", "\x00", "\x1c", "\x85", "é", "e\u0301", "ß",
+        "漢", "字", "😀", "👩\u200d👩", "\ufeff", "\U0010ffff", "'s", "'LL", "don't", "a", "Zz", "0", "12345", "!", "...", "_", "the", " the", "١٢", "ﬁ", "Ⅷ", "़",
+    ]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["".join(chr(rng.choice((rng.randint(0, 0x2FF), rng.randint(0x300, 0xD7FF), rng.randint(0xE000, 0x1FFFF)))) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    want = default_tokenizer()(texts)
+    assert sum(50256 in ids for ids in want) > 300
+    assert packing.encoder(None, True, packing.added_strings(None))(texts) == want
+    df = spark.createDataFrame(list(enumerate(texts[:400])), "doc_id long, text string")
+    check_pieces(packing.pack(df).collect(), {i: [*ids, 1] for i, ids in enumerate(want[:400])})
+
+
 def test_packing(docs, none):
     got = packing.pack(docs.where("doc_id NOT IN (2, 14, 15)")).collect()
-    encode = packing.encoder(None, True)
+    encode = default_tokenizer()
     check_pieces(got, {r[0]: [*encode([r[1] or ""])[0], 1] for r in rows() if r[0] not in (None, 2, 14, 15)})
     assert packing.pack(none).count() == 0
     lengths = np.array([5, 9, 3, 7, 7, 2, 1])
@@ -273,7 +298,7 @@ def test_warc(spark, tmp_path):
 def test_archive_versions(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://x/{i}", "body " * 40 + str(i)) for i in range(9)], "page_id long, url string, html string").coalesce(1)
     warc.write_arc(df, str(tmp_path / "arc"), segment=500)
-    got = warc.read_arc(spark, str(tmp_path / "arc")).collect()
+    got = [r for r in warc.read_arc(spark, str(tmp_path / "arc")).collect() if r.kind == "response"]
     assert sorted(r.page_id for r in got) == list(range(9)) and len({r.archive for r in got}) > 2
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"filedesc://a 0.0.0.0 2000 text/plain 4\n9 0\n\n"))
@@ -281,6 +306,79 @@ def test_archive_versions(spark, tmp_path):
         list(warc.parse_arc(b"filedesc://a 0.0.0.0 2000 text/plain 99\n1 0 x\n"))
 
 
+V1 = b"1 0 Somebody\nURL IP-address Archive-date Content-type Archive-length\n"
+V2 = b"2 0 Somebody\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+PICTURE = bytes(range(256)) * 3
+FOUND = b"HTTP/1.1 200 OK\r\nServer: old/1.0\r\nContent-Type: image/gif\r\n\r\n" + PICTURE
+GONE = b"HTTP/1.0 404 Not Found\nX-Page-Id: no number\n\n<p>gone</p>"
+LONG = b"HTTP/1.1 200 OK\r\n\r\n" + "é line\n".encode() * 300_000
+
+
+def archived(version, records, name):
+    """A hand-written archive: version block, then each record with its declared length and a line end."""
+    opening = {1: b"filedesc://%s 0.0.0.0 19990101000000 text/plain %d\n", 2: b"filedesc://%s 0.0.0.0 19990101000000 text/plain 200 - - 0 %s %d\n"}[version]
+    block = {1: V1, 2: V2}[version]
+    out = [opening % ((name, len(block)) if version == 1 else (name, name, len(block))) + block + b"\n"]
+    return out + [line + b" %d\n" % len(body) + body + b"\n" for line, body in records]
+
+
+def test_hand_written_archives(spark, tmp_path):
+    """Both versions, under ordinary names, packed by record, as a whole and not at all."""
+    import gzip
+
+    arc, out = tmp_path / "old", tmp_path / "new"
+    (arc / "deep").mkdir(parents=True)
+    one = archived(1, [
+        (b"http://example.org/a picture.gif 10.0.0.1 19990102030405 image/gif", FOUND),
+        (b"http://example.org/gone?q=1 2 10.0.0.1 19990102 text/html; charset=utf-8", GONE),
+        (b"dns:example.org 10.0.0.53 19990102030405 text/dns", b"19990102030405\nexample.org. 60 IN A 10.0.0.1\n"),
+        (b"http://example.org/bare 10.0.0.1 19990102030405 text/plain", b"no head at all"),
+        (b"http://example.org/none 10.0.0.1 19990102030405 no-type", b""),
+    ], b"IAH-1999-00000-host.arc")
+    two = archived(2, [
+        (b"http://example.org/copy 2001:db8::1 20000102030405 image/gif 200 abc - 1234 x.arc", FOUND.replace(b"old/1.0", b"new/2.0")),
+        (b"ftp://example.org/f - 20000102030405 text/plain; x=a b 226 abc http://to/ 99 x.arc", b"HTTP/1.1 200 this is a file"),
+        (b"http://example.org/long 10.0.0.1 20000102030405 text/plain 200 abc - 5 x.arc", LONG),
+    ], b"x.arc")
+    (arc / "IAH-1999-00000-host.arc.gz").write_bytes(b"".join(map(gzip.compress, one)))
+    (arc / "deep" / "x.arc").write_bytes(b"".join(two))
+    (arc / "deep" / "whole.arc.gz").write_bytes(gzip.compress(b"".join(archived(1, [], b"whole.arc"))))
+    warc.arc_to_warc(spark, str(arc), str(out))
+    records = [x for f in out.glob("part-*") for x in warc.parse_warc(gzip.decompress(f.read_bytes()))]
+    by = {h["warc-target-uri"]: (h, b) for h, b in records if "warc-target-uri" in h}
+    assert len(by) == 8 and sum(h["warc-type"] == "warcinfo" and "warc-filename" in h for h, _ in records) == 3
+    h, b = by["http://example.org/a picture.gif"]
+    assert b == FOUND and h["warc-type"] == "response" and h["warc-date"] == "1999-01-02T03:04:05Z" and h["warc-payload-digest"] == "sha1:" + warc.payload_digest(PICTURE)
+    h, b = by["http://example.org/gone?q=1 2"]
+    assert b == GONE and h["warc-date"] == "1999-01-02T00:00:00Z" and h["warc-payload-digest"] == "sha1:" + warc.payload_digest(b"<p>gone</p>")
+    h, b = by["http://example.org/copy"]
+    first = by["http://example.org/a picture.gif"][0]
+    assert h["warc-type"] == "revisit" and b == FOUND[: -len(PICTURE)].replace(b"old/1.0", b"new/2.0") and h["warc-refers-to"] == first["warc-record-id"]
+    assert (h["warc-refers-to-target-uri"], h["warc-refers-to-date"], h["warc-profile"]) == (first["warc-target-uri"], first["warc-date"], warc.PROFILE)
+    for url, mime in (("dns:example.org", "text/dns"), ("http://example.org/bare", "text/plain"), ("ftp://example.org/f", "text/plain; x=a b"), ("http://example.org/none", "no-type")):
+        h, b = by[url]
+        assert (h["warc-type"], h["content-type"]) == ("resource", mime) and h["warc-payload-digest"] == "sha1:" + warc.payload_digest(b)
+    assert by["http://example.org/long"][1] == LONG and "warc-ip-address" not in by["ftp://example.org/f"][0]
+    back = {r.url: r for r in warc.read_warc(spark, str(out)).collect()}
+    assert {u: r.record_type for u, r in back.items()} == {u: h["warc-type"] for u, (h, _) in by.items()} and back["http://example.org/copy"].payload_bytes is None
+    # every record is a gzip member of its own
+    data = next(f for f in out.glob("part-*") if PICTURE in gzip.decompress(f.read_bytes())).read_bytes()
+    members = []
+    while data:
+        one = __import__("zlib").decompressobj(31)
+        members.append(one.decompress(data))
+        data = one.unused_data
+    assert all(m == b"" or m.startswith(b"WARC/1.1") for m in members) and sum(m.count(b"WARC/1.1\r\n") for m in members) == sum(map(bool, members))
+
+
+def test_header_lines_that_cannot_be_read():
+    names = warc.FIELDS["1"].split(" ")
+    for line in ("http://x 1.2.3.4 text/html 5", "http://x 1.2.3.4 2000 text/html five", "x 5"):
+        with pytest.raises(ValueError):
+            warc.header_fields(line, names)
+    assert warc.header_fields("http://x 1.2.3.4 2000 5", names)["Content-type"] == ""
+
+
 def test_match_lengths_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(25):
