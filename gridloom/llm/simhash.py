@@ -16,7 +16,7 @@ a word to the least of them gives the same components with 65 rows a fingerprint
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -182,17 +182,21 @@ def near_components(
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near copies by similarity: texts that share 0.8 of their five-word shingles, exactly
+# --- near copies by similarity: texts that share 0.8 of their five-word shingles
 
 
-#: Members of a key up to which its pairs are listed; larger keys are linked by representatives, then tile by tile.
-NEAR_DENSE = 32
-#: Rows of a large key compared in one task; larger ones are compared tile by tile.
-TILE = 512
-REPRESENTATIVES = 8
-#: One text of SAMPLE is read to find common shingles: in SAMPLE_SHARE or more of those, at most COMMON. They come last in
-#: the order of shingles, which saves work; any order gives the same groups.
+#: Orders of all shingles. The least shingle of a set in each order is a key; a pair of similarity s misses all keys once in
+#: (1 - s) ** -ORDERS times, at 0.8 once in 15,000.
+ORDERS = 6
+#: Members of a key up to which all of them are compared; the members of a larger one are told apart by pairs of such keys.
+CROWD = 256
+#: Bits of 256 in which two sets of similarity 0.8 may differ: 39 are expected, with a deviation of 6. Sets below SMALL
+#: shingles have coarser fingerprints and are compared as sets without asking them.
+REACH, SMALL = 64, 32
+#: One text of SAMPLE is read to find common shingles: in SAMPLE_SHARE or more of those, at most COMMON. Texts that hold one get
+#: keys without them besides, which keeps boilerplate from hiding what else they share.
 SAMPLE, SAMPLE_SHARE, COMMON = 64, 4, 1 << 17
+_MIX = np.random.default_rng(11).integers(0, 1 << 64, (2, 2 * ORDERS + 4), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
@@ -212,17 +216,32 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def prefix_size(n):
-    """Two sets of Jaccard similarity 0.8 or more share one of so many of their first elements, in any common order."""
-    return n - (4 * n + 4) // 5 + 1
+def _mixed(shingles: np.ndarray, orders: range) -> np.ndarray:
+    """A row of mixed hashes for each order."""
+    at = list(orders)
+    h = (shingles[None, :] ^ _MIX[0][at][:, None]) * _MIX[1][at][:, None]
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def ordered_prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first elements of a set, common shingles being last; common is sorted."""
+def least_shingles(shingles: np.ndarray, common: np.ndarray) -> list[int]:
+    """Keys of a set: its least shingle in each order and, if it holds common ones, its least others; common is sorted."""
     if not len(shingles):
-        return shingles
-    late = np.isin(shingles, common)
-    return np.concatenate((shingles[~late], shingles[late]))[: prefix_size(len(shingles))]
+        return []
+    keys = _mixed(shingles, range(ORDERS)).min(axis=1)
+    if len(common):
+        rare = shingles[common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles]
+        if 0 < len(rare) < len(shingles):
+            keys = np.concatenate((keys, _mixed(rare, range(ORDERS, 2 * ORDERS)).min(axis=1)))
+    return keys.astype(np.int64).tolist()
+
+
+def set_fingerprint(shingles: np.ndarray) -> list[int]:
+    """256 bits of a set as four signed integers: a bit is 1 if set in over half of the shingles' hashes."""
+    ones = np.zeros(256, np.int64)
+    for i in range(0, len(shingles), 1 << 14):
+        part = _mixed(shingles[i : i + (1 << 14)], range(2 * ORDERS, 2 * ORDERS + 4)).T
+        ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles)).view(np.int64).tolist()
 
 
 def similar(both, total):
@@ -245,79 +264,50 @@ def _common_shingles(src: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
 
 
-def _linked_rows(rows: list, split: bool) -> tuple[list[int], list[int]]:
-    """Edges that join the roots of all similar rows (mine, node, root, set); split: only rows of different ``mine`` are compared."""
-    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-    sizes = np.array([len(x) for x in sets], np.int64)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    mine, node = (np.array([r[c] for r in rows], np.int64) for c in ("mine", "node"))
-    root = np.unique(np.array([r["root"] for r in rows], np.int64), return_inverse=True)[1]
-    us, vs, own = [], [], np.zeros(flat.max() + 1, bool)
-    for i in np.flatnonzero(root != np.bincount(root).argmax()).tolist():  # of two roots, one is not the most frequent
-        at = flat[starts[i] : starts[i] + sizes[i]]
-        own[at] = True
-        hit = similar(np.add.reduceat(own[flat].astype(np.int64), starts), sizes + sizes[i]) & (root != root[i])
-        own[at] = False
-        if split:
-            hit &= mine != mine[i]
-        us += [int(node[i])] * int(hit.sum())
-        vs += node[hit].tolist()
-        root[np.isin(root, root[hit])] = root[i]
-    return us, vs
+def _forest(far: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a least spanning forest of a symmetric boolean matrix ``linked`` with lengths ``far``."""
+    cost = np.where(linked, far, 1 << 20)
+    best, near, left = np.full(len(far), 1 << 20), np.full(len(far), -1), np.ones(len(far), bool)
+    us, vs = [], []
+    for _ in range(len(far)):
+        i = int(np.argmin(np.where(left, best, 1 << 21)))
+        if near[i] >= 0 and best[i] < 1 << 20:
+            us.append(int(near[i]))
+            vs.append(i)
+        left[i] = False
+        closer = left & (cost[i] < best)
+        best[closer], near[closer] = cost[i][closer], i
+    return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(tid, root, n_rows): each distinct text (by its MD5), its group and how many rows of docs have the text.
+def _candidates(members: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (u, v) of nodes that share a key and may be similar, by size and fingerprint, and whose roots differ.
 
-    Texts are linked exactly if their shingle sets have Jaccard similarity 0.8 or more. Two such sets share a shingle
-    of their prefixes, the first fifth of each in one order of all shingles. Pairs that share enough of both prefixes
-    are compared as whole sets. A shingle in more than NEAR_DENSE prefixes links its members to representatives first;
-    only where that leaves several groups, its members are compared tile by tile.
+    members: key, node, root, size, f0 to f3, at most CROWD of a key. whole: all such pairs, else a spanning forest of them.
     """
-    text_batches(docs.sparkSession)
-    src = docs.select(_text_id(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
-    common = _common_shingles(src, shingle)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [shingle_set(_words(t), shingle) for t in pdf["text"]]
-            yield pd.DataFrame({
-                "tid": pdf["tid"], "node": [set_id(h) for h in found], "size": [len(h) for h in found],
-                "prefix": [ordered_prefix(h, common).astype(np.int64) for h in found],
-            })
-
-    texts = materialize(src.mapInPandas(read, "tid string, node long, size long, prefix array<long>"), "near-prefixes")
-    nodes = materialize(texts.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "near-nodes")
-    keyed = nodes.select("node", "size", F.explode("prefix").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
-    members = materialize(keyed.join(shared, "key"), "near-members")
-    dense = members.where(f"n > {NEAR_DENSE}")
-    crowded = materialize(dense.groupBy("node").agg(F.count("*").alias("crowded")), "near-crowded")
-    few = members.where(f"n <= {NEAR_DENSE}").join(crowded, "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """need: shared keys of at most NEAR_DENSE members without which a pair cannot be similar."""
-        for pdf in batches:
-            out = [np.zeros((0, 3), np.int64)]
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for rows in pdf["rows"]:
-                x = np.array(sorted((r["node"], r["size"], r["crowded"]) for r in rows), np.int64)
-                i, j = np.triu_indices(len(x), 1)
-                (u, a, c), (v, b, d) = x[i].T, x[j].T
-                # all that a pair shares beyond the prefix that ends first lies in the rest of that set
-                rest = np.maximum(a - prefix_size(a), b - prefix_size(b))
-                need = -(-4 * (a + b) // 9) - rest - np.minimum(c, d)
-                out.append(np.column_stack((u, v, need))[5 * np.minimum(a, b) >= 4 * np.maximum(a, b)])
-            yield pd.DataFrame(np.concatenate(out), columns=["u", "v", "need"])
-
-    listed = few.groupBy("key").agg(F.collect_list(F.struct("node", "size", "crowded")).alias("rows")).select("rows")
-    listed = listed.mapInPandas(pairs, "u long, v long, need long").groupBy("u", "v").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    salted = F.xxhash64("node", F.pmod("key", F.lit(REPRESENTATIVES)))
-    first = materialize(dense.groupBy("key").agg(F.min(F.struct(salted, "node")).getField("node").alias("v")), "near-first")
-    to_first = dense.join(first, "key").where("node != v").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
-    candidates = materialize(listed.where("n >= need").select("u", "v").union(to_first).distinct(), "near-candidates")
-    compared = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).union(crowded.select("node")).distinct()
-    wanted = texts.join(compared, "node").groupBy("node").agg(F.min("tid").alias("tid")).select("tid")
+                x = np.array(sorted(tuple(r.values()) for r in rows), np.int64)
+                node, root, size, bits = x[:, 0], x[:, 1], x[:, 2], x[:, 3:].view(np.uint64)
+                far = np.bitwise_count(bits[:, None] ^ bits[None, :]).sum(axis=2, dtype=np.int64)
+                less, more = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+                linked = (root[:, None] != root[None, :]) & (5 * less >= 4 * more) & ((far <= REACH) | (less < SMALL))
+                i, j = np.nonzero(np.triu(linked, 1)) if whole or len(x) == 2 else _forest(far, linked)
+                us.append(np.minimum(node[i], node[j]))
+                vs.append(np.maximum(node[i], node[j]))
+            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    rows = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "size", "f0", "f1", "f2", "f3")).alias("rows"))
+    return rows.where("size(rows) > 1").select("rows").mapInPandas(compare, "u long, v long").distinct()
+
+
+def _confirmed(candidates: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, label: str) -> DataFrame:
+    """Those (u, v) whose whole shingle sets have Jaccard similarity 0.8 or more."""
+    compared = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
+    wanted = materialize(texts.join(compared, "node").groupBy("node").agg(F.min("tid").alias("tid")).select("tid"), f"{label}-wanted")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -325,7 +315,7 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
             yield pd.DataFrame({"node": [set_id(h) for h in found], "shingles": [h.tobytes() for h in found]})
 
     sets = src.join(wanted, "tid", "left_semi").select("text").mapInPandas(whole, "node long, shingles binary")
-    sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
+    sets = materialize(sets.dropDuplicates(["node"]), f"{label}-sets")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -333,35 +323,81 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 ok.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
-            yield pdf.loc[ok, ["u", "v"]]
+            yield pdf.loc[np.array(ok, bool), ["u", "v"]]
 
     both = candidates.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
-    edges = materialize(both.mapInPandas(confirm, "u long, v long"), "near-edges")
-    roots = materialize(components(edges), "near-roots")
+    return materialize(both.mapInPandas(confirm, "u long, v long"), f"{label}-edges")
 
-    placed = materialize(dense.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "near-dense")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    mixed = materialize(mixed, "near-mixed")
-    if not mixed.isEmpty():
-        # a key of t tiles becomes t * (t + 1) / 2 pairs of tiles, each compared by one task
-        tiled = placed.join(mixed, "key").withColumn("t", F.ceil(F.col("n") / TILE))
-        tiled = tiled.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("t")))
-        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1))).join(sets, "node")
-        tiled = tiled.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "node", "root", "shingles")
-
-        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            us, vs = _linked_rows(pdf.to_dict("records"), bool(pdf["a"].iloc[0] != pdf["b"].iloc[0]))
-            return pd.DataFrame({"u": us, "v": vs}, dtype=np.int64)
-
-        more = tiled.groupBy("key", "a", "b").applyInPandas(compare, "u long, v long").distinct()
-        roots = materialize(components(edges.union(more)), "near-roots")
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(tid, root, n_rows): each distinct text (by its MD5), its group and how many rows of docs have the text.
+
+    Texts of one set of shingles are one node. Nodes are linked if their sets have Jaccard similarity 0.8 or more, which whole
+    sets confirm for every link. Candidates are, first, nodes whose fingerprints lie within MAX_DISTANCE bits, by Golay
+    keys; then nodes that share a least shingle in one of several orders and whose wide fingerprints lie within REACH bits. A
+    key's members are linked by a spanning forest first; what differs in root after that is compared pair by pair.
+    A key of more than CROWD members is linked to one of them, and its members are compared by pairs of such keys.
+    """
+    src = docs.select(_text_id(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
+    common = _common_shingles(src, shingle)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingle_set(_words(t), shingle) for t in pdf["text"]]
+            bits = np.array([set_fingerprint(h) for h in found], np.int64).reshape(-1, 4)
+            yield pd.DataFrame({
+                "tid": pdf["tid"], "node": [set_id(h) for h in found], "size": [len(h) for h in found],
+                **{f"f{i}": bits[:, i] for i in range(4)}, "keys": [least_shingles(h, common) for h in found],
+            })
+
+    schema = "tid binary, node long, size long, f0 long, f1 long, f2 long, f3 long, keys array<long>"
+    texts = materialize(src.mapInPandas(read, schema), "near-texts")
+    values = ["size", "f0", "f1", "f2", "f3"]
+    nodes = texts.groupBy("node").agg(*[F.first(c).alias(c) for c in [*values, "keys"]])
+    nodes = materialize(nodes, "near-nodes")
+
+    def shared(keyed: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        """(key, node) of keys with 2 to CROWD members, and of larger ones."""
+        counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-shared")
+        members = materialize(keyed.join(counts, "key"), f"{label}-members")
+        return members.where(f"n <= {CROWD}").select("key", "node"), members.where(f"n > {CROWD}").select("key", "node")
+
+    few, many = shared(nodes.select(F.explode("keys").alias("key"), "node"), "near")
+    pairs_of = "flatten(transform(sequence(1, size(k) - 1), i -> transform(slice(k, i + 1, size(k)), y -> xxhash64(k[i - 1], y))))"
+    double = many.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("k")).where("size(k) > 1")
+    few_again, crowds = shared(double.select(F.explode(F.expr(pairs_of)).alias("key"), "node"), "near-double")
+    crowds = many.union(crowds)
+    first = crowds.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node")).getField("node").alias("v"))
+    to_first = crowds.join(materialize(first, "near-first"), "key").select(F.col("node").alias("u"), "v")
+    members = materialize(few.union(few_again).join(nodes.select("node", *values), "node"), "near-compared")
+
+    # fingerprints of 64 bits within two bits: each links its nodes to the least of them, which stands for it
+    heads = materialize(nodes.groupBy("f0").agg(F.min("node").alias("head")), "near-heads")
+    close = _links(heads.select(F.col("f0").alias("fp")))
+    close = close.join(heads.select(F.col("f0").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("f0").alias("v"), F.col("head").alias("b")), "v")
+    equal = nodes.join(heads, "f0").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    alone = members.withColumn("root", F.col("node"))
+    known = [close.select(F.col("a").alias("u"), F.col("b").alias("v")), equal, to_first]
+    known = materialize(_ordered(reduce(DataFrame.union, known)).union(_candidates(alone, whole=False)).distinct(), "near-first-pairs")
+    edges = _confirmed(known, texts, src, shingle, "near-first")
+
+    roots = materialize(components(edges), "near-roots")
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    rest = _candidates(rooted.join(mixed, "key", "left_semi"), whole=True).join(known, ["u", "v"], "left_anti")
+    more = _confirmed(materialize(rest, "near-other-pairs"), texts, src, shingle, "near-other")
+    roots = materialize(components(edges.union(more)), "near-roots")
     found = texts.groupBy("tid").agg(F.first("node").alias("node"), F.count("*").alias("n_rows"))
     return found.join(roots, "node", "left").select("tid", F.coalesce("root", "node").alias("root"), "n_rows")
 
 
 def _text_id(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

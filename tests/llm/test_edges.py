@@ -158,10 +158,36 @@ def test_near_copies_are_exactly_similar(spark, monkeypatch):
     wanted = {min(i for i, g in enumerate(group) if g == k) for k in set(group)}
     assert 25 < len(wanted) < 125
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    for dense in (simhash.NEAR_DENSE, 1):
-        monkeypatch.setattr(simhash, "NEAR_DENSE", dense)
-        monkeypatch.setattr(simhash, "TILE", 2)
-        assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == wanted
+    for crowd in (simhash.CROWD, 4):  # the second has the members of most keys told apart by pairs of keys
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
+        assert kept == wanted if crowd > 4 else kept >= wanted and len(kept) < 1.1 * len(wanted)
+
+
+def test_near_copies_recall_at_the_bound(spark):
+    """Pairs with similarity of 0.8 to 0.83 are found, pairs of 0.75 to 0.8 are left; boilerplate of two thirds doesn't hide them."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    boiler, texts = prose(200), []
+    for k in range(600):
+        own, length = (prose(150), 150) if k % 2 else (prose(100) + boiler, 300)
+        texts += [own, own + prose(round(length * (0.22 if k % 4 < 2 else 0.30)))]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    like = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
+    over = [k for k, x in enumerate(like) if x >= 0.8]
+    assert len(over) >= 250 and set(range(0, 1200, 2)) <= kept
+    assert sum(2 * k + 1 not in kept for k in over) >= 0.99 * len(over)
+    assert all(2 * k + 1 in kept for k in range(600) if like[k] < 0.8)
+
+
+def test_near_copies_of_six_unrelated_texts_stay(spark):
+    rng = random.Random(22)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(200)) for _ in range(6)]
+    df = spark.createDataFrame(list(zip([14, 14, None, None, None, 20], texts, strict=True)), "doc_id long, text string")
+    assert {r.text for r in simhash.drop_near_copies(df).collect()} == set(texts)
 
 
 def test_near_copies_at_similarity(spark, monkeypatch):
@@ -180,7 +206,7 @@ def test_near_copies_at_similarity(spark, monkeypatch):
     df = spark.createDataFrame(out, "doc_id long, text string")
     kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
     assert set(originals) <= kept and len(kept) <= 62
-    monkeypatch.setattr(simhash, "TILE", 2)  # the same groups when every bucket is tiled
+    monkeypatch.setattr(simhash, "CROWD", 3)  # the same groups when most keys are crowded
     assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == kept
 
 
