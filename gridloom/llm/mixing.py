@@ -2,12 +2,15 @@
 
 Every source gets a share of all words in proportion to its weight, at most CAP times its own words; what a capped
 source leaves is shared by weight among the others (water filling). A source whose target is r times its size takes
-floor(r) whole copies of each document for certain; the fraction left is a fixed-size sample in words: documents are
-ranked by random odds divided by inclusion odds, u / (1 - u) * (1 - p) / p, and taken in that order while the middle of a
-document lies within the words still wanted.
-
-The running sum over a source never meets in one task: rank values fall into cells, cells are summed, and only the
-cell in which a source's words run out is ordered row by row, after a second, finer division.
+floor(r) whole copies of each document for certain; the fraction left is a fixed-size sample in words with unequal
+inclusion probabilities: they are in proportion to the root of a document's size, or to a column of odds, and where that
+passes 1 a document gets one more whole copy and the others' probabilities are calibrated anew. Documents are ranked by
+random odds divided by inclusion odds, u / (1 - u) * (1 - p) / p, and taken in that order while the middle of a document
+lies within the words still wanted.
+
+The running sum over a source never meets in one task: the logarithms of the ranks, which spread alike whatever p is, fall
+into cells, cells are summed, and only the cell in which a source's words run out is ordered row by row, after a second,
+finer division. Sources without a fraction, and documents that are certain, take no part in it.
 """
 
 from __future__ import annotations
@@ -56,108 +59,118 @@ def uniform(*cols: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("long") + 0.5) / float(16**_DIGITS)
 
 
+def inclusion(sums: DataFrame, targets: DataFrame) -> DataFrame:
+    """(of, level, source_size, target, whole, rest, p) for each source and level of odds, from (source, level, words) rows.
+
+    whole: certain copies. p: the probability of one more, null where there is none to draw; odds are 2 ** (level / 2), and
+    levels whose probability would reach 1 are certain. rest: words to draw from the levels with a probability. A source
+    has as many rows as levels, at most a few thousand.
+    """
+    part = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = sums.withColumnRenamed("source", "of").join(targets, F.col("of").eqNullSafe(targets.source)).withColumn("whole", F.floor(part))
+    plan = plan.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("odds", F.pow(F.lit(2.0), F.col("level") / 2))
+    down = W.partitionBy("of").orderBy(F.desc("level"))
+    before, rest = down.rowsBetween(W.unboundedPreceding, -1), down.rowsBetween(W.currentRow, W.unboundedFollowing)
+    ahead = F.coalesce(F.sum("words").over(before), F.lit(0))
+    weighted = F.sum(F.col("odds") * F.col("words")).over(rest)
+    plan = plan.withColumn("ahead", ahead).withColumn("unit", F.when(weighted > 0, (F.col("wanted") - ahead) / weighted).otherwise(0.0))
+    # levels are certain in this order; the first that isn't sets the unit of probability
+    plan = plan.withColumn("open", F.when(F.col("unit") * F.col("odds") < 1, F.struct("unit", "ahead")))
+    plan = plan.withColumn("set", F.first("open", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    drawn = (F.col("wanted") > 0) & (F.col("open").isNotNull() | F.col("set").isNull())
+    sure = (F.col("wanted") > 0) & ~drawn
+    p = F.when(drawn, F.least(F.greatest(F.col("set.unit") * F.col("odds"), F.lit(1e-12)), F.lit(1 - 1e-12)))
+    return plan.select(
+        "of", "level", "source_size", "target", (F.col("whole") + sure.cast("int")).alias("whole"), (F.col("wanted") - F.col("set.ahead")).alias("rest"), p.alias("p")
+    )
+
+
+def _ranked(docs: DataFrame, weights: Sequence[float], cap: int, seed: int, odds: str | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size, u, source_size, target, whole, rest, p, q, cell, fine) for every row; q is null where nothing is drawn."""
+    rows = materialize(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            uniform(F.col(id_col), F.col(text_col), seed=seed).alias("u"),
+            (F.lit(None).cast("double") if odds is None else F.greatest(F.coalesce(F.col(odds).cast("double"), F.lit(1.0)), F.lit(1e-12))).alias("odds"),
+        ).withColumn("level", F.coalesce(F.round(2 * F.log2("odds")).cast("int"), F.length(F.bin(F.col("size") + 1)))),
+        "mix-sizes",
+    )
+    sums = materialize(rows.groupBy("source", "level").agg(F.sum("size").alias("words")), "mix-levels")
+    targets = source_targets(sums.withColumnRenamed("words", "size"), weights, cap)
+    plan = materialize(inclusion(sums, targets), "mix-plan")
+    both = rows.alias("r").join(plan.withColumnRenamed("level", "l"), F.col("r.source").eqNullSafe(F.col("of")) & (F.col("r.level") == F.col("l")))
+    both = both.drop("of", "l", "level", "odds").withColumn("q", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    z = F.log("q")
+    return materialize(both.withColumn("cell", F.floor(z * CELLS)).withColumn("fine", F.floor(z * CELLS * CELLS)), "mix-ranked")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
     cap: int = CAP,
     seed: int = 42,
-    inclusion: str | None = None,
+    odds: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken (= copies * size, in words).
+    """One row per input row: doc_id, source, size, u, source_size, target, copies, taken (= copies * size, in words).
 
-    inclusion: a column of relative inclusion odds (null: 1; at most 0: never in the fractional sample unless the
-    words run out); without it all documents of a source have the same inclusion probability. A null text has size
-    0; a null source is a source of its own; rows that repeat share their random number, and ties are broken by
-    id and size. An empty table gives no rows. Extra columns are ignored.
+    odds: a column of relative inclusion odds, rounded to half powers of two (null: 1; below 1e-12: that); without it they
+    are the root of the size's next power of two. A null text has size 0; a null source is a source of its own. u is
+    drawn from id and text: rows that repeat both share it and are taken one by one. An empty table gives no rows.
+    Extra columns are ignored.
     """
-    odds = F.lit(1.0) if inclusion is None else F.coalesce(F.col(inclusion).cast("double"), F.lit(1.0))
-    rows = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.greatest(odds, F.lit(1e-12)).alias("odds"),
-        ),
-        "mix-sizes",
-    )
-    targets = source_targets(rows, weights, cap)
-    scale = rows.groupBy("source").agg(
-        F.sum(F.col("odds") * F.col("size")).alias("weighted"), F.sum("size").alias("s"),
-    )
-    part = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = materialize(
-        targets.join(scale, targets.source.eqNullSafe(scale.source))
-        .select(targets.source.alias("of"), "source_size", "target", part.alias("ratio"), (F.col("s") / F.col("weighted")).alias("unit"))
-        .withColumn("whole", F.floor("ratio"))
-        .withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")),
-        "mix-plan",
-    )
-    p = F.least(F.greatest((F.col("ratio") - F.col("whole")) * F.col("odds") * F.coalesce("unit", F.lit(1.0)), F.lit(1e-15)), F.lit(1 - 1e-15))
-    u = uniform(F.col("doc_id"), seed=seed)
-    q = (u / (1 - u)) / (p / (1 - p))
-    ranked = rows.join(plan, rows.source.eqNullSafe(plan.of)).withColumn("q", q).drop("of")
-    ranked = ranked.withColumn("x", F.col("q") / (1 + F.col("q")))  # the same order, within (0, 1)
-    ranked = materialize(
-        ranked.withColumn("cell", F.floor(F.col("x") * CELLS)).withColumn(
-            "fine", F.floor(F.col("x") * CELLS * CELLS)
-        ),
-        "mix-ranked",
-    )
+    ranked = _ranked(docs, weights, cap, seed, odds, id_col, text_col, source_col)
+    drawn = ranked.where("q IS NOT NULL")
 
     def running(cell: str, of: DataFrame, *keys: str) -> DataFrame:
         """Words in the cells before each cell, and up to its end."""
-        sums = of.groupBy(*keys, cell).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
+        sums = of.groupBy(*keys, cell).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
         upto = F.sum("words").over(W.partitionBy(*keys).orderBy(cell))
         return sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
 
-    coarse = materialize(running("cell", ranked, "source"), "mix-coarse")
-    edge = coarse.where("before <= wanted AND upto >= wanted")
-    inside = ranked.alias("r").join(
-        edge.select(F.col("source").alias("s"), F.col("cell").alias("c"), F.col("before").alias("base")),
-        F.col("r.source").eqNullSafe(F.col("s")) & (F.col("r.cell") == F.col("c")),
-    )
-    inside = materialize(inside.drop("s", "c"), "mix-edge")
-    finer = materialize(
-        running("fine", inside.withColumn("wanted", F.col("wanted") - F.col("base")), "source", "cell"), "mix-fine"
-    )
-    # place: words that come before a row. Whole cells need only their own bounds; edge cells of the fine grid are ordered
-    bounds = ranked.alias("r").join(
-        coarse.select(F.col("source").alias("s"), F.col("cell").alias("c"), "before", "upto"),
-        F.col("r.source").eqNullSafe(F.col("s")) & (F.col("r.cell") == F.col("c")),
-    ).drop("s", "c")
-    clear = bounds.where("NOT (before <= wanted AND upto >= wanted)").withColumn("extra", (F.col("upto") < F.col("wanted")).cast("int"))
-    fine = inside.alias("r").join(
-        finer.select(F.col("source").alias("s"), F.col("fine").alias("f"), F.col("before").alias("b"), F.col("upto").alias("e")),
-        F.col("r.source").eqNullSafe(F.col("s")) & (F.col("r.fine") == F.col("f")),
-    ).drop("s", "f").withColumn("before", F.col("base") + F.col("b")).withColumn("upto", F.col("base") + F.col("e"))
+    def at(of: DataFrame, cells: DataFrame, cell: str) -> DataFrame:
+        """Rows with the bounds of their cell."""
+        names = cells.select(F.col("source").alias("s"), F.col(cell).alias("c"), "before", "upto")
+        return of.join(names, F.col("source").eqNullSafe(F.col("s")) & (F.col(cell) == F.col("c"))).drop("s", "c")
+
+    edge = "before <= rest AND upto >= rest"
+    coarse = materialize(running("cell", drawn, "source"), "mix-coarse")
+    bounds = at(drawn, coarse, "cell")
+    inside = bounds.where(edge).withColumn("rest", F.col("rest") - F.col("before")).drop("before", "upto")
+    inside = materialize(inside, "mix-edge")
+    finer = at(inside, materialize(running("fine", inside, "source", "cell"), "mix-fine"), "fine")
+    # whole cells are taken or left by their own bounds; the rows of the edge cells of the fine grid are ordered, equal ones as one
+    cols = ["doc_id", "source", "size", "u", "source_size", "target", "whole"]
+    extra = (F.col("upto") < F.col("rest")).cast("int").alias("extra")
+    clear = bounds.where(f"NOT ({edge})").select(*cols, extra).unionByName(finer.where(f"NOT ({edge})").select(*cols, extra))
+    alike = finer.where(edge).groupBy(*cols, "fine", "q", "rest", "before").agg(F.count("*").alias("n"))
     order = W.partitionBy("source", "fine").orderBy("q", "doc_id", "size")
-    ahead = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    fine = fine.withColumn("extra", (F.col("before") + ahead + F.col("size") / 2 <= F.col("wanted")).cast("int"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "whole", "ratio", "extra"]
-    out = clear.select(*cols).unionByName(fine.select(*cols))
-    copies = F.least(F.lit(cap), F.col("whole") + F.when(F.col("ratio") > F.col("whole"), F.col("extra")).otherwise(0))
-    out = out.withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    ahead = F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fits = F.when(F.col("size") > 0, F.floor((F.col("rest") - ahead) / F.col("size") + 0.5)).otherwise(F.when(ahead <= F.col("rest"), F.col("n")).otherwise(0))
+    few = alike.withColumn("fits", fits).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    few = few.select(*cols, (F.col("k") <= F.col("fits")).cast("int").alias("extra"))
+    out = ranked.where("q IS NULL").select(*cols, F.lit(0).alias("extra")).unionByName(clear).unionByName(few)
+    out = out.withColumn("copies", F.least(F.lit(cap), F.col("whole") + F.col("extra")).cast("long"))
+    return out.select("doc_id", "source", "size", "u", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, seed: int = 42) -> DataFrame:
     """docs with each row as often as the mix takes it (0 to cap times); all columns kept.
 
-    Rows with an equal id and size are one document to the mix: each of them gets the copies of their least decision.
+    Rows of one id and text are decided together here: each gets the copies of most of them.
     """
-    chosen = mix(docs, weights, cap, seed)
+    chosen = mix(docs, weights, cap, seed).groupBy("doc_id", "source", "size", "u").agg(F.round(F.avg("copies")).cast("long").alias("copies"))
     chosen = materialize(
-        chosen.groupBy("doc_id", "source", "size").agg(F.min("copies").alias("copies")).where("copies > 0")
-        .select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies"), "mix-copies"
+        chosen.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("u").alias("_u"), "copies"), "mix-copies"
     )
-    size = F.coalesce(F.regexp_count(F.col("row.text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct("*").alias("row")).withColumn("_size", size)
+    rows = docs.select(F.struct("*").alias("row")).withColumn("_own", uniform(F.col("row.doc_id"), F.col("row.text"), seed=seed))
     joined = rows.join(
         chosen,
-        F.col("row.doc_id").eqNullSafe(F.col("_i")) & F.col("row.source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")),
+        F.col("row.doc_id").eqNullSafe(F.col("_i")) & F.col("row.source").eqNullSafe(F.col("_s")) & (F.col("_own") == F.col("_u")),
     )
     return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
@@ -168,7 +181,7 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
   FROM sized GROUP BY source),
@@ -184,15 +197,29 @@ target AS (
   SELECT source, source_size, least(coalesce(water.level * weight, source_size * 3), source_size * 3)::DOUBLE AS target
   FROM levels, water),
 plan AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM target),
+  SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole FROM target),
+levelled AS (
+  SELECT *, length(bin(size + 1)) AS level, ((('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT
+    + 0.5::DOUBLE) / 4503599627370496::DOUBLE) AS u FROM sized),
+odds AS (
+  SELECT p.source, p.source_size, p.target, whole, target - whole * source_size AS wanted, level, pow(2.0::DOUBLE, level / 2.0::DOUBLE) AS odds, sum(size) AS words
+  FROM levelled s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source GROUP BY ALL),
+units AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+         sum(odds * words) OVER (PARTITION BY source ORDER BY level DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weighted FROM odds),
+opened AS (SELECT *, CASE WHEN weighted > 0 THEN (wanted - gone) / weighted ELSE 0 END AS unit FROM units),
+firsts AS (
+  SELECT *, arg_max(unit, level) FILTER (unit * odds < 1) OVER (PARTITION BY source) AS step,
+         arg_max(gone, level) FILTER (unit * odds < 1) OVER (PARTITION BY source) AS sure FROM opened),
 ranked AS (
-  SELECT s.doc_id, s.size, p.source, source_size, target, ratio, floor(ratio) AS whole, target - floor(ratio) * source_size AS wanted,
-         (('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+  SELECT s.doc_id, s.size, f.source, source_size, target, wanted - sure AS rest,
+         whole + CASE WHEN wanted > 0 AND unit * odds >= 1 THEN 1 ELSE 0 END AS copies, wanted > 0 AND unit * odds < 1 AS drawn,
+         u / (1 - u) / (least(greatest(step * odds, 1e-12), 1 - 1e-12) / (1 - least(greatest(step * odds, 1e-12), 1 - 1e-12))) AS q
+  FROM levelled s JOIN firsts f ON s.source IS NOT DISTINCT FROM f.source AND s.level = f.level),
 placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, drawn ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM ranked)
 SELECT doc_id, size, source_size, target,
-       CAST(size * least(3, whole + CASE WHEN ratio > whole AND ahead + size / 2.0::DOUBLE <= wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * least(3, copies + CASE WHEN drawn AND ahead + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM placed
 """

@@ -231,13 +231,53 @@ def test_mix(docs, none):
 
 def test_mix_inclusion_odds(spark):
     df = spark.createDataFrame([(i, "w " * 10, "a" if i < 400 else "b", 4.0 if i % 2 else 1.0) for i in range(800)], "doc_id long, text string, source string, odds double")
-    got = mixing.mix(df, weights=(1.0, 3.0), inclusion="odds").collect()
+    got = mixing.mix(df, weights=(1.0, 3.0), odds="odds").collect()
     few = [r for r in got if r.source == "a"]
     assert sum(r.taken for r in few) == pytest.approx(few[0].target, rel=0.01)
     odd, even = (sum(r.copies for r in few if r.doc_id % 2 == k) for k in (1, 0))
     assert odd > 2 * even
 
 
+def test_mix_takes_larger_documents_more_often(spark):
+    df = spark.createDataFrame([(i, "w " * (10 if i % 2 else 160), "a" if i < 1000 else "b") for i in range(3000)], "doc_id long, text string, source string")
+    got = [r for r in mixing.mix(df, weights=(1.0, 9.0)).collect() if r.source == "a"]
+    target = got[0].target
+    assert target < 0.7 * got[0].source_size and sum(r.taken for r in got) == pytest.approx(target, abs=200)
+    large, small = (sum(r.copies for r in got if (r.size > 10) == k) for k in (True, False))
+    assert 1.5 * small < large
+
+
+def test_mix_calibrates_certain_documents(spark):
+    """Probabilities that would pass 1 become whole copies; the others' sum to the words that are left."""
+    rows = [("a", 2, 100), ("a", 20, 100), (None, 4, 50)]
+    sums = spark.createDataFrame(rows, "source string, level int, words long")
+    targets = spark.createDataFrame([("a", 200, 120.0), (None, 50, 150.0)], "source string, source_size long, target double")
+    got = {(r.of, r.level): r for r in mixing.inclusion(sums, targets).collect()}
+    assert got["a", 20].whole == 1 and got["a", 20].p is None and got["a", 2].whole == 0
+    assert got["a", 2].p == pytest.approx(0.2) and got["a", 2].rest == pytest.approx(20)
+    assert got[None, 4].whole == 3 and got[None, 4].p is None
+
+
+@pytest.mark.parametrize("weights", [(1.0, 1.0), (1000.0, 1.0), (1.0, 1000.0), (1.0, 1e7)])
+def test_mix_cells_hold_few_rows(spark, weights):
+    """Sources at 1 and 3 times their size, at nearly none of it and in between; equal rows and null ids don't share a cell."""
+    df = spark.range(30000).selectExpr(
+        "CASE WHEN id % 3 > 0 THEN id END AS doc_id", "concat_ws(' ', 'some', 'words', cast(id as string)) AS text", "CASE WHEN id < 15000 THEN 'a' ELSE 'b' END AS source"
+    )
+    ranked = mixing._ranked(df, weights, 3, 42, None, "doc_id", "text", "source")
+    assert ranked.count() == 30000
+    cells = ranked.where("q IS NOT NULL").groupBy("source", "fine").count().agg(F.max("count")).first()[0]
+    assert cells is None or cells < 100
+    got = mixing.mix(df, weights).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(r.taken - r.target) <= 2 for r in got)
+
+
+def test_mix_of_repeated_rows_stays_near_its_target(spark):
+    df = spark.createDataFrame([(7, "one two three", "a")] * 900 + [(i, "four five six", "b") for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(1.0, 1.0)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 2 for r in got)
+
+
 def test_shards(docs, none):
     for limit in (1 << 20, 4000, 100):
         got = sharding.shard(docs, limit).collect()
