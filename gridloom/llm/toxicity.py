@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Insult patterns (whole words and word beginnings) are learned from labelled rows, threats, targets, negation and
-reported speech are short word lists in four languages. Five transducers read the words of a clause: each maps a word
-class to a weight, and their composition weighs an insult by what else its clause holds. An insult next to a negation
-or in reported speech counts less, one aimed at somebody counts more, and a threat counts only with a target. A
-document's score is a logistic function of the summed clause weights and of how many patterns matched.
-
-A pattern scan finds the clauses that hold an insult or threat at all; only those are read word by word.
+Insult patterns (whole words and word beginnings) and their weights are learned from labelled rows; threats, targets, negation
+and reported speech are short word lists in four languages. Five transducers read the classes of a clause's words and mark
+insults and threats; their composition is one machine, whose states hold what of the clause is in force: a negation and how
+far it still reaches, a report, a target. By these marks each match goes to a channel (plain, targeted, reported or negated,
+for insults and threats). A document's score is a logistic function of its channels' summed weights, of how many patterns
+matched, how many different ones and how densely. What a channel counts for is calibrated on the labelled rows, starting from
+PRIOR; a channel that they never show keeps its prior.
+
+A pattern scan finds the clauses that hold an insult or threat at all; only those are read word by word, each once.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -35,7 +39,11 @@ PREFIXES = (4, 5, 6, 7, 8)
 MIN_SUPPORT, MIN_ODDS = 6, 2.5
 #: A pattern that a shorter one covers is kept only with so much higher log odds.
 MIN_GAIN = 0.7
-FEATURES = 5
+#: Weights before calibration: the intercept, each channel's log clause weight, log matches, different patterns, log density.
+CHANNELS = tuple(f"{kind} {how}" for kind in ("insult", "threat") for how in ("plain", "targeted", "reported", "negated"))
+PRIOR = (-4.0, 0.5, 0.75, 0.25, 0.1, 0.0, 1.0, 0.25, 0.0, 1.0, 0.5, 0.5)
+FEATURES = len(PRIOR)
+RIDGE = 0.05
 
 #: Word lists of the grammar: small closed classes of English, German, French and Spanish.
 THREAT = "kill murder hurt destroy beat stab shoot töte töten umbringen schlagen tuer tuerai frapper détruire matar mataré golpear destruir".split()
@@ -48,42 +56,58 @@ LETTERS = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n|]")
 
 
+CLASSES = ("insult", "threat", "target", "negation", "reported", "other")
+#: Words that a negation reaches.
+REACH = 3
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """arcs: (state, word class) to (next state, weight); other words keep the state at weight 1."""
+    """arcs: (state, word class) to (next state, marks); state 0 is the first, other words keep the state and mark nothing."""
+
+    arcs: dict[tuple[int, str], tuple[int, str]]
 
-    arcs: dict[tuple[int, str], tuple[int, float]]
+    def step(self, state: int, kind: str) -> tuple[int, str]:
+        return self.arcs.get((state, kind), (state, ""))
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        return self.arcs.get((state, kind), (state, 1.0))
 
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that reads like both at once and writes both marks; its states are the pairs that can be reached."""
+    number, queue, arcs = {(0, 0): 0}, [(0, 0)], {}
+    for pair in queue:  # grows while it is read
+        for kind in CLASSES:
+            (x, m), (y, n) = a.step(pair[0], kind), b.step(pair[1], kind)
+            if (x, y) not in number:
+                number[x, y] = len(number)
+                queue.append((x, y))
+            arcs[number[pair], kind] = (number[x, y], m + n)
+    return Transducer(arcs)
 
-#: Negation holds for the three words that follow it; states count down.
-NEGATING = Transducer(
-    {(s, "negation"): (3, 1.0) for s in range(4)}
-    | {(s, k): (s - 1, 0.3 if k == "insult" else 1.0) for s in (1, 2, 3) for k in ("insult", "threat", "target", "reported", "other")}
-)
-REPORTING = Transducer({(0, "reported"): (1, 1.0), (1, "insult"): (1, 0.5), (1, "threat"): (1, 0.5)})
-TARGETING = Transducer({(0, "target"): (1, 1.0), (1, "insult"): (1, 1.5)})
-THREATENING = Transducer({(0, "target"): (1, 1.0), (1, "threat"): (1, 2.0), (0, "threat"): (0, 0.0)})
-INSULTING = Transducer({(0, "insult"): (1, 1.0), (1, "insult"): (1, 1.0)})
-GRAMMAR = (INSULTING, THREATENING, TARGETING, NEGATING, REPORTING)
 
+_HITS = ("insult", "threat")
+INSULTING = Transducer({(0, "insult"): (0, "i")})
+THREATENING = Transducer({(0, "threat"): (0, "k")})
+TARGETING = Transducer({(0, "target"): (1, "")} | {(1, k): (1, "t") for k in _HITS})
+REPORTING = Transducer({(0, "reported"): (1, "")} | {(1, k): (1, "r") for k in _HITS})
+#: States count the words that the negation still reaches.
+NEGATING = Transducer({(s, k): (s - 1, "n" if k in _HITS else "") for s in range(1, REACH + 1) for k in CLASSES} | {(s, "negation"): (REACH, "") for s in range(REACH + 1)})
+GRAMMAR = reduce(compose, (INSULTING, THREATENING, TARGETING, REPORTING, NEGATING))
 
-def clause_weight(words: list[tuple[str, float]]) -> tuple[float, float]:
-    """(summed weight, effective matches) of a clause under the composition of the grammar's transducers.
 
-    words: class and weight of each. What the machines make of a word's weight, they make of its count of one.
-    """
-    states, total, matches = [0] * len(GRAMMAR), 0.0, 0.0
+def channel(marks: str) -> int:
+    """The channel of a marked word: a negation outweighs a report, and a report a target."""
+    how = "negated" if "n" in marks else "reported" if "r" in marks else "targeted" if "t" in marks else "plain"
+    return CHANNELS.index(f"{'insult' if 'i' in marks else 'threat'} {how}")
+
+
+def clause_weights(words: list[tuple[str, float]]) -> np.ndarray:
+    """(matches, summed weight) of each channel for a clause, given the class and weight of its words."""
+    state, out = 0, np.zeros((len(CHANNELS), 2))
     for kind, weight in words:
-        factor = 1.0
-        for i, machine in enumerate(GRAMMAR):
-            states[i], w = machine.step(states[i], kind)
-            factor *= w
-        total += weight * factor
-        matches += factor if weight else 0.0
-    return total, matches
+        state, marks = GRAMMAR.step(state, kind)
+        if marks:
+            out[channel(marks)] += (1.0, weight)
+    return out
 
 
 def patterns(text: str) -> dict[str, set[tuple[str, str]]]:
@@ -101,10 +125,10 @@ def patterns(text: str) -> dict[str, set[tuple[str, str]]]:
 
 @dataclass
 class Model:
-    """lexicon: pattern to weight; coef: of intercept, log clause weight, log effective matches, different patterns, log density."""
+    """lexicon: pattern to weight; coef: of the features, see PRIOR."""
 
     lexicon: dict[str, float] = field(default_factory=dict)
-    coef: tuple[float, ...] = (-4.0, 1.0, 1.0, 0.5, 0.5)
+    coef: tuple[float, ...] = PRIOR
 
     def __post_init__(self):
         self.machine = ahocorasick.Automaton()
@@ -124,7 +148,7 @@ class Model:
         return kind, 1.0 if kind == "threat" else 0.0
 
     def features(self, text: str | None) -> np.ndarray:
-        low, clauses, starts = (text or "").lower(), {}, set()
+        low, ends, clauses, starts = (text or "").lower(), None, set(), set()
         for end, (string, found) in self.machine.iter(low):
             start = end - len(string) + 1
             whole = not (end + 1 < len(low) and low[end + 1].isalpha())
@@ -133,17 +157,17 @@ class Model:
                 continue
             if any(p in self.lexicon for p in matched):
                 starts.add(low[start : start + PREFIXES[0]])
-            clauses[max(low.rfind(c, 0, start) for c in ".!?;:\n|")] = start
-        if not clauses:
-            return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
-        weight = n = 0.0
-        for begin, inside in clauses.items():
-            stop = CLAUSE_END.search(low, inside)
-            words = WORD.findall(low, begin + 1, stop.start() if stop else len(low))
-            w, m = clause_weight([self.word_class(w) for w in words])
-            weight, n = weight + w, n + m
-        density = math.log1p(1000 * n / max(20, len(low.split())))
-        return np.array([1.0, math.log1p(weight), math.log1p(n), min(len(starts), 4), density])
+            if ends is None:  # once for a text, however many of its clauses match
+                ends = [-1, *(m.start() for m in CLAUSE_END.finditer(low)), len(low)]
+            clauses.add(bisect_left(ends, start))
+        out = np.zeros(FEATURES)
+        out[0] = 1.0
+        if clauses:
+            found = sum(clause_weights([self.word_class(w) for w in WORD.findall(low, ends[c - 1] + 1, ends[c])]) for c in sorted(clauses))
+            n = found[:4, 0].sum()
+            out[1:9] = np.log1p(found[:, 1])
+            out[9:] = math.log1p(n), min(len(starts), 4), math.log1p(1000 * n / max(20, len(low.split())))
+        return out
 
     def score(self, text: str | None) -> float:
         return 1.0 / (1.0 + math.exp(-float(np.clip(self.features(text) @ np.array(self.coef), -30, 30))))
@@ -212,20 +236,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         own = Model(model.lexicon)
         for pdf in batches:
             x = np.array([own.features(t) for t in pdf["text"]]).reshape(-1, FEATURES)
-            yield pd.DataFrame({"a": x[:, 1], "b": x[:, 2], "c": x[:, 3], "d": x[:, 4], "y": pdf["toxic"].to_numpy(float)})
+            yield pd.DataFrame(x[:, 1:], columns=names[:-1]).assign(y=pdf["toxic"].to_numpy(float))
 
-    names = ["a", "b", "c", "d", "y"]
+    names = [*(f"x{i}" for i in range(1, FEATURES)), "y"]
     grouped = train.mapInPandas(extract, ", ".join(f"{c} double" for c in names)).groupBy(names).count()
-    data = np.array([list(r) for r in grouped.collect()], float)  # at most ``rows`` rows of six numbers
+    data = np.array([list(r) for r in grouped.collect()], float)  # at most ``rows`` rows of a few numbers
     data = data[np.lexsort(data.T)]
     x, y, w = np.column_stack([np.ones(len(data)), data[:, : FEATURES - 1]]), data[:, FEATURES - 1], data[:, FEATURES]
-    coef, use = np.zeros(FEATURES), np.ones(FEATURES, bool)
-    while True:  # Newton steps for ridge-regularised logistic regression; evidence never counts against toxicity
-        coef[:] = 0
+    prior, use = np.array(PRIOR), np.ones(FEATURES, bool)
+    coef = prior.copy()
+    while True:  # Newton steps for logistic regression drawn to the prior; evidence never counts against toxicity
+        coef[use] = prior[use]
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-            grad = x.T @ (w * (p - y)) + 0.05 * coef
-            hess = (x.T * (w * p * (1 - p))) @ x + 0.05 * np.eye(FEATURES)
+            grad = x.T @ (w * (p - y)) + RIDGE * (coef - prior)
+            hess = (x.T * (w * p * (1 - p))) @ x + RIDGE * np.eye(FEATURES)
             step = np.linalg.solve(hess[np.ix_(use, use)], grad[use])
             coef[use] -= step
             if np.abs(step).max() < 1e-9:

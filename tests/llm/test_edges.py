@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -431,7 +433,7 @@ def test_hand_written_archives(spark, tmp_path):
     data = next(f for f in out.glob("part-*") if PICTURE in gzip.decompress(f.read_bytes())).read_bytes()
     members = []
     while data:
-        one = __import__("zlib").decompressobj(31)
+        one = zlib.decompressobj(31)
         members.append(one.decompress(data))
         data = one.unused_data
     assert all(m == b"" or m.startswith(b"WARC/1.1") for m in members) and sum(m.count(b"WARC/1.1\r\n") for m in members) == sum(map(bool, members))
@@ -503,12 +505,59 @@ def test_toxicity_keeps_both_forms_of_a_string():
         model = toxicity.Model(lexicon)
         word = "kill" if "kill*" in lexicon else "fool"
         assert model.score(f"a {word}ish fellow") > plain and (word == "kill" or model.score("a fool") > plain)
-        assert word == "fool" or model.features("you kill")[1] > 0
+        assert word == "fool" or model.features("you kill")[1:9].any()
+
+
+def naive_channels(words):
+    """The grammar by its definition: what stands before a match in its clause."""
+    out = Counter()
+    for i, (kind, weight) in enumerate(words):
+        if kind in ("insult", "threat"):
+            before = [k for k, _ in words[:i]]
+            how = "negated" if "negation" in before[-3:] else "reported" if "reported" in before else "targeted" if "target" in before else "plain"
+            out[f"{kind} {how}"] += weight
+    return out
+
+
+def test_grammar_against_its_definition():
+    rng = random.Random(31)
+    for _ in range(3000):
+        words = [(k, 2.0 if k == "insult" else 1.0 if k == "threat" else 0.0) for k in rng.choices(toxicity.CLASSES, k=rng.randint(0, 12))]
+        got = dict(zip(toxicity.CHANNELS, toxicity.clause_weights(words)[:, 1].tolist(), strict=True))
+        assert {c: w for c, w in got.items() if w} == dict(naive_channels(words))
+    assert len({s for s, _ in toxicity.GRAMMAR.arcs}) == 2 * 2 * (toxicity.REACH + 1)
+
+
+def naive_features(model, text):
+    """All clauses read word by word, without a pattern scan."""
+    low = (text or "").lower()
+    total, n, kinds = Counter(), 0, set()
+    for clause in re.split(r"[.!?;:\n|]", low):
+        words = [model.word_class(w) for w in toxicity.WORD.findall(clause)]
+        n += sum(k == "insult" for k, _ in words)
+        total += naive_channels(words)
+        kinds |= {w[:4] for w in toxicity.LETTERS.findall(clause) if model.word_class(w)[0] == "insult"}
+    hit = n or any(total.values())
+    rest = [np.log1p(n), min(len(kinds), 4), np.log1p(1000 * n / max(20, len(low.split()))) if hit else 0.0]
+    return [1.0, *(np.log1p(total[c]) for c in toxicity.CHANNELS), *rest]
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(33)
+    model = toxicity.Model({"=scum": 3.0, "idio*": 2.5, "kill*": 1.5, "=kill": 2.0, "moron*": 2.0})
+    bits = ["scum", "scummy", "idiot", "idiotic", "kill", "killing", "moronic", "you", "they", "not", "never", "said", "reported", "hurt", "fine", "Wort", ".", "!", "\n", ",", "über", "naïf", "42"]
+    texts = [" ".join(rng.choices(bits, k=rng.randint(0, 60))).replace(" ,", ",") for _ in range(400)] + [None, "", "... . \n", "scum " * 40_000, "scum. " * 40_000]
+    for text in texts:
+        assert model.features(text).tolist() == pytest.approx(naive_features(model, text))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.toxicity for r in toxicity.score_documents(df, model).collect()}
+    want = [1 / (1 + np.exp(-np.clip(np.dot(naive_features(model, t), model.coef), -30, 30))) for t in texts]
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
 
 
 def test_grammar_weighs_clauses():
-    w = lambda *kinds: toxicity.clause_weight([(k, 2.0 if k == "insult" else 1.0 if k == "threat" else 0.0) for k in kinds])[0]
-    assert w("insult") == 2.0 and w("target", "insult") == 3.0
-    assert w("negation", "insult") < w("reported", "other", "insult") < w("insult")
-    assert w("negation", "other", "other", "other", "insult") == 2.0
-    assert w("threat") == 0.0 and w("target", "threat") == 2.0
+    model = toxicity.Model({"=scum": 2.0})
+    plain, aimed, negated, quoted = (model.score(t) for t in ("a scum here", "you are a scum", "he is not a scum", "he said a scum"))
+    assert negated < quoted < plain < aimed
+    assert model.score("not in my own words a scum") == pytest.approx(model.score("now in my own words a scum"))  # out of the negation's reach
+    assert model.score("they kill") > model.score("will kill") == pytest.approx(model.score("will sing"))
