@@ -17,7 +17,8 @@ from .common import materialize
 
 BITS = 60
 STEP = 12
-LIMIT = 32 << 20
+#: Bytes of a shard, by default and in the registered query: small, so that tables of a few MB split too.
+LIMIT = 128 << 10
 
 
 def _hash(*cols):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bloom, chat, components, exact, media, mixing, packing, sharding, simhash, suffix, toxicity, warc
 
+from .. import oracle
 from .test_queries import brute_removed, check_pieces
 
 CLASH = ["key", "size", "kept", "h", "row", "copy", "n", "taken", "fp", "digest", "gram", "shard", "cell", "again", "component_id", "toxicity", "_i", "k", "v"]
@@ -290,6 +291,20 @@ def test_shards(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [20_000, 1_500])
+def test_shards_equal_their_sql_at_small_limits(spark, sf, limit):
+    query = lambda spark, sf: sharding.shard(spark.read.parquet(f"{sf}/documents.parquet"), limit)
+    oracle.check(spark, sf, query, sharding.sql(limit))
+    depths = {r.depth for r in query(spark, sf).select("depth").distinct().collect()}
+    assert len(depths) > 1 and min(depths) > 0
+
+
+def test_shards_of_very_long_texts(spark):
+    df = spark.createDataFrame([(i, "long text " * 200_000 if i == 3 else "short") for i in range(40)], "doc_id long, text string")
+    got = sharding.shard(df, 100).collect()
+    assert len(got) == 40 and all(r.shard_bytes <= 100 or r.shard_rows == 1 for r in got)
+
+
 def default_tokenizer():
     """The contract's yardstick: the tokenizer file as it is, no special tokens added."""
     import public_tokenizers
