@@ -13,9 +13,14 @@ _own: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, removed at exit; on a
+    cluster that is an error, since executors would write to their own disks."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         folder = tempfile.mkdtemp(prefix="gridloom-")
@@ -24,7 +29,8 @@ def root(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, label: str = "table") -> DataFrame:
+def written(df: DataFrame, label: str = "table", *by: str) -> DataFrame:
+    """Write df to the shared folder, in subfolders by the columns ``by``, and read it back: a lost executor costs a re-read."""
     path = f"{root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
