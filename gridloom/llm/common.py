@@ -2,57 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import root as scratch_root
+from ..plans.scratch import written as materialize
+
+__all__ = ["LOWER_BYTES", "WORD", "lower_ascii", "materialize", "scratch_root", "table", "utf8"]
+
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For bytes.translate: lower-cases A-Z and leaves all other bytes.
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-#: Rows of an Arrow batch for tables of whole texts; Spark's own default of 10,000 rows can be hundreds of MB here.
-TEXT_BATCH = 500
-
-_own_scratch: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at a time, unless the session has a setting of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(TEXT_BATCH))
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        folder = tempfile.mkdtemp(prefix="gridloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own_scratch[app] = "file://" + folder
-    return _own_scratch[app]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: a lost executor costs a re-read, not a re-run."""
-    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

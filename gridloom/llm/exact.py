@@ -2,7 +2,8 @@
 
 Pass one sets every row's text hash in a Bloom filter that remembers which cells were set twice. Pass two probes
 it: rows whose hash certainly occurs once pass straight through; only possibly repeated rows shuffle, by the
-SHA-256 of their normalised text.
+SHA-256 of their normalised text. A corpus of more hashes than one broadcast segment of the filter holds passes segment by
+segment.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import maybe_repeated, repeated_filter
+from .bloom import split_rows
 from .common import lower_ascii, materialize
 
 
@@ -25,35 +26,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         docs.select(F.col(id_col).alias("doc_id"), F.sha2(lower_ascii(F.col(text_col)), 256).alias("text_sha256")),
         "exact",
     ).withColumn("h", F.xxhash64("text_sha256"))
-    filt = repeated_filter(keyed, "h", keyed.count())
-    probed = keyed.withColumn("again", maybe_repeated(F.col("h"), filt))
-    straight = probed.where(~F.col("again")).select(
-        "doc_id",
-        F.col("doc_id").alias("keep_id"),
-        F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"),
-        "text_sha256",
-    )
-    # rows of the same id and text become one counted row; then each group's keeper
-    rows = materialize(
-        probed.where("again").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "exact-rows"
-    )
-    groups = materialize(
-        rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")),
-        "exact-groups",
-    )
-    back = (
-        rows.join(groups, "text_sha256")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-        .select(
+
+    def groups(probed: DataFrame) -> DataFrame:
+        straight = probed.where(~F.col("again")).select(
             "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+            F.col("doc_id").alias("keep_id"),
+            F.lit(1).cast("long").alias("group_size"),
+            F.lit(True).alias("kept"),
             "text_sha256",
         )
-    )
-    return straight.unionByName(back)
+        # rows of the same id and text become one counted row; then each group's keeper
+        rows = materialize(probed.where("again").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "exact-rows")
+        keepers = materialize(
+            rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "exact-groups"
+        )
+        back = (
+            rows.join(keepers, "text_sha256")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+            .select(
+                "doc_id",
+                "keep_id",
+                "group_size",
+                (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+                "text_sha256",
+            )
+        )
+        return straight.unionByName(back)
+
+    return split_rows(keyed, "h", keyed.count(), groups)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,16 +65,17 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = docs.select(F.struct("*").alias("row"), F.sha2(lower_ascii(F.col(text_col)), 256).alias("key")).withColumn(
         "h", F.xxhash64("key")
     )
-    filt = repeated_filter(keyed, "h", docs.count())
-    probed = keyed.withColumn("again", maybe_repeated(F.col("h"), filt))
-    straight = probed.where(~F.col("again")).select("row.*")
     order = F.struct(
         F.col(f"row.`{id_col}`").isNotNull(),
         F.col(f"row.`{id_col}`"),
         F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != id_col]),
     )
-    best = probed.where("again").groupBy("key").agg(F.max_by("row", order).alias("row")).select("row.*")
-    return straight.unionByName(best)
+
+    def keepers(probed: DataFrame) -> DataFrame:
+        best = probed.where("again").groupBy("key").agg(F.max_by("row", order).alias("row")).select("row.*")
+        return probed.where(~F.col("again")).select("row.*").unionByName(best)
+
+    return split_rows(keyed, "h", docs.count(), keepers)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

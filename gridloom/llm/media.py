@@ -19,8 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import repeated_filter, test_keys
-from .common import materialize, text_batches, utf8
+from .bloom import load, one_segment, repeated_blocks
+from .common import materialize, utf8
 
 BLOCK, WIDTH, PAD = 576, 24, b"\xff"
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 8192, 11
@@ -100,14 +100,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     compressed bytes, or null if they are in the chunk table (digest, data). One row per input row; null text
     counts as empty.
     """
-    text_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def keys(pdf: pd.DataFrame) -> np.ndarray:
-        return _keys([d for t in pdf["text"] for d, _ in chunks(payload_of(t)[0])])
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"k": _keys([d for t in pdf["text"] for d, _ in chunks(payload_of(t)[0])])})
 
+    # a medium's chunks belong to all segments of a filter, so there is one: beyond its size more chunks go to the chunk table
     n_rows, n_bytes = src.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bits, bitmap = repeated_filter(src.select("text"), keys, n_rows + n_bytes // (1 << CUT_BITS))
+    n_keys = one_segment(n_rows + n_bytes // (1 << CUT_BITS))
+    filt = load(repeated_blocks(src.select("text").mapInPandas(keys, "k long"), n_keys), n_keys)
 
     def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -115,7 +117,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
             seen: dict[bytes, bytes] = {}
             for text in pdf["text"]:
                 parts = chunks(payload_of(text)[0])
-                again = test_keys(_keys([d for d, _ in parts]), bits, bitmap.value)
+                again = filt.again(_keys([d for d, _ in parts]))
                 seen |= {d: p for (d, p), a in zip(parts, again.tolist(), strict=True) if a}
             yield pd.DataFrame({"digest": list(seen), "data": [pack(p) for p in seen.values()]})
 
@@ -129,7 +131,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 payload, n = payload_of(text)
                 parts = chunks(payload)
-                again = test_keys(_keys([d for d, _ in parts]), bits, bitmap.value).tolist()
+                again = filt.again(_keys([d for d, _ in parts])).tolist()
                 inline = [None if a else pack(p) for (_, p), a in zip(parts, again, strict=True)]
                 out.append((doc, n, hashlib.sha256(payload).hexdigest(), header_of(payload), [d for d, _ in parts], inline))
             frame = pd.DataFrame(out, columns="doc_id n_bytes media_key header digests inline".split())

@@ -22,7 +22,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 
 LENGTH = 2048
 END_ID = 1
@@ -131,7 +130,6 @@ def pack(
     text counts as empty (the end id alone); rows that repeat are packed once each; extra columns are ignored; an
     empty table gives no rows. Equal rows spread evenly over the shards.
     """
-    text_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-n_bytes // SHARD_BYTES))

@@ -3,19 +3,19 @@
 A byte goes if a LENGTH-byte string that covers it starts anywhere else in the corpus too. The corpus is cut into
 pieces that can be indexed apart: the least hash among the GRAM-byte grams of a window is its anchor, equal windows have
 equal anchors at equal places, and a run of windows with one anchor is an entry with a context of at most 337 bytes.
-Entries whose anchor certainly occurs once (a Bloom filter of anchors seen twice tells) are dropped where they are.
-Equal contexts collapse into one. Contexts that share an anchor but differ go to index shards, by anchor.
+Equal contexts collapse into one that counts them. An anchor with a single context is decided by that count; the contexts
+of all other anchors that can match go to index shards, by anchor, and come from the texts by one join.
 
-A shard sorts the suffixes of its contexts, run-compresses their Burrows-Wheeler transform and samples the match lengths
-at both ends of its runs only. Inside a run a suffix continues the match of the position before it, one byte
-shorter; so one pass over the text streams the matching statistics of every position from the samples, against the
-neighbours on both sides. Windows whose match reaches LENGTH are marked.
+A shard sorts the suffixes of its contexts and keeps their Burrows-Wheeler transform as runs, with a sample at both ends of each
+run: the suffix there and how far it matches its neighbour outside the run. Inside a run a suffix continues the match of the
+position before it, one byte shorter; so one pass over the text streams the matching statistics of every position from the
+samples, against the neighbours on both sides. Windows whose match reaches LENGTH are marked.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import maybe_repeated, repeated_filter, test_keys
-from .common import materialize, text_batches, utf8
+from .bloom import load, maybe_repeated, one_segment, repeated_blocks
+from .common import materialize, utf8
 
 LENGTH, GRAM = 200, 64
 #: Bytes of contexts in a shard, and of anchors indexed together there (about 60 bytes of memory a byte); an anchor whose
@@ -125,34 +125,44 @@ def suffix_order(symbols: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> tu
         step *= 2
 
 
-def match_lengths(texts: list[bytes]) -> list[np.ndarray]:
-    """For every position of every text the longest match with another position of the texts.
+@dataclass(frozen=True)
+class RunIndex:
+    """A run-compressed Burrows-Wheeler transform of texts laid end to end, with samples at the ends of its runs.
 
-    Only the ends of the runs of the Burrows-Wheeler transform are compared byte by byte.
+    symbol, length: of each run; a byte before a text's first counts as a symbol of its own, so that no run crosses texts.
+    head, tail: the first and last suffix of each run; above, below: how far they match the suffix above and below the run.
+    ends: where the texts end; twins: whether a text stands for several equal ones.
     """
+
+    symbol: np.ndarray
+    length: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    above: np.ndarray
+    below: np.ndarray
+    ends: np.ndarray
+    twins: np.ndarray
+
+
+def run_index(texts: list[bytes], twins: np.ndarray) -> RunIndex:
+    """The index of non-empty texts. Only the ends of runs are compared byte by byte."""
     sizes = np.array([len(t) for t in texts], np.int64)
     symbols = np.frombuffer(b"".join(texts), np.uint8)
-    n = len(symbols)
-    ends = np.cumsum(sizes)
+    n, ends = len(symbols), np.cumsum(sizes)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    place = np.arange(n, dtype=np.int32)
-    rest = (ends[owner] - place).astype(np.int32)
+    rest = (ends[owner] - np.arange(n, dtype=np.int32)).astype(np.int32)
     order, _ = suffix_order(symbols, rest, owner)
-    # the transform; the byte before a text's first is a symbol of its own, so no run crosses texts
-    starts = ends - sizes
     before = symbols[order - 1].astype(np.int32)
-    first = order == starts[owner[order]]
+    first = order == (ends - sizes)[owner[order]]
     before[first] = 256 + owner[order][first]
     change = np.flatnonzero(np.diff(before)) + 1
-    heads = np.concatenate(([0], change))  # first of each run: compared with the suffix above
-    tails = np.append(change - 1, n - 1)  # last of each run: compared with the suffix below
+    heads, tails = np.concatenate(([0], change)), np.append(change - 1, n - 1)
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffix pairs, in strides of eight bytes and then one."""
+        """Length of the common prefix of suffix pairs, in strides of sixteen bytes and then one."""
         out, limit = np.zeros(len(a), np.int32), np.minimum(rest[a], rest[b])
-        live = np.arange(len(a))
         for width in (16, 1):
-            live = np.arange(len(a)) if width == 1 else live
+            live = np.arange(len(a))
             while len(live):
                 i, j = a[live] + out[live], b[live] + out[live]
                 fits = out[live] + width <= limit[live]
@@ -163,15 +173,29 @@ def match_lengths(texts: list[bytes]) -> list[np.ndarray]:
                 out[live] += width
         return out
 
-    best = np.zeros(n, np.int32)
-    for ends_of, shift in ((heads, -1), (tails, 1)):
-        inside = ends_of[(ends_of + shift >= 0) & (ends_of + shift < n)]
+    above, below = np.zeros(len(heads), np.int32), np.zeros(len(tails), np.int32)
+    above[1:] = common(order[heads[1:]], order[heads[1:] - 1])
+    below[:-1] = common(order[tails[:-1]], order[tails[:-1] + 1])
+    return RunIndex(before[heads], np.diff(np.append(heads, n)), order[heads], order[tails], above, below, ends, np.asarray(twins, bool))
+
+
+def matching_statistics(index: RunIndex) -> list[np.ndarray]:
+    """For every position of every text the longest match with another position of the texts, streamed from the samples."""
+    n = int(index.ends[-1])
+    place, best = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+    for suffixes, matched in ((index.head, index.above), (index.tail, index.below)):
         sample = np.full(n, -1, np.int32)
-        sample[order[ends_of]] = 0
-        sample[order[inside]] = common(order[inside], order[inside + shift])
+        sample[suffixes] = matched
         at = np.maximum.accumulate(np.where(sample >= 0, place, np.int32(0)))
         best = np.maximum(best, sample[at] - (place - at))
-    return np.split(best, ends[:-1])
+    out = np.split(best, index.ends[:-1])
+    for i in np.flatnonzero(index.twins).tolist():  # a twin matches to its end
+        out[i] = np.arange(len(out[i]), 0, -1, dtype=np.int32)
+    return out
+
+
+def match_lengths(texts: list[bytes], twins: np.ndarray | None = None) -> list[np.ndarray]:
+    return matching_statistics(run_index(texts, np.zeros(len(texts), bool) if twins is None else twins))
 
 
 def _spans(marked: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -183,102 +207,76 @@ def _spans(marked: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(at[np.concatenate(([0], gap + 1))].tolist(), (at[np.append(gap, len(at) - 1)] + length).tolist(), strict=True))
 
 
-MARKS = "gram long, digest binary, spans array<struct<s: long, e: long>>"
+MARKS = "gram long, digest binary, spans array<struct<s: int, e: int>>"
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """(key, spans): for texts that hold repeated strings, ranges to remove; key is the text's SHA-256 (16 bytes).
+    """(key, spans): for texts that hold repeated strings, ranges to remove; key is the first 16 bytes of the text's SHA-256.
 
     Texts that occur twice are one range if they have ``length`` bytes. Others' ranges may overlap.
     """
-    text_batches(docs.sparkSession)
-    src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = src.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("key"), F.octet_length("text").cast("long").alias("n"))
-    copies = whole.where(f"n >= {length}").groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1")
-    full = copies.select("key", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))).alias("spans"))
-    full = materialize(full, "copied")
-
-    def keys(pdf: pd.DataFrame) -> np.ndarray:
-        return anchors([utf8(t) for t in pdf["text"]], length)[1]
-
-    n_bytes = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits, bitmap = repeated_filter(src, keys, int(n_bytes) * 2 // (length - GRAM))
-
-    def flagged(pdf: pd.DataFrame, seen: set[bytes], bits: int, bitmap: bytes) -> tuple[list, list, list, list, list, list]:
-        """Entries of texts not seen before in this task whose anchor tests positive: key, gram, first, size, digest, body."""
-        datas, keys = [], []
-        for text in pdf["text"]:
-            data = utf8(text)
-            key = hashlib.sha256(data).digest()[:16]
-            if len(data) >= length and key not in seen:
-                seen.add(key)
-                datas.append(data)
-                keys.append(key)
-        text, grams, first, last = anchors(datas, length)
-        hit = test_keys(grams, bits, bitmap)
-        at, i, j = text[hit].tolist(), first[hit].tolist(), (last[hit] + length).tolist()
-        bodies = [datas[t][a:b] for t, a, b in zip(at, i, j, strict=True)]
-        size = [len(b) for b in bodies]
-        return [keys[t] for t in at], grams[hit].tolist(), i, size, [xxhash.xxh3_128_digest(b) for b in bodies], bodies
+    src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
+    src = src.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("key"), "text")
+    distinct = materialize(src.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("c")), "texts")
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.octet_length("text").alias("e")))
+    full = materialize(distinct.where("c > 1").select("key", whole.alias("spans")), "copied")
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()  # a task's texts: copies give no new entries
         for pdf in batches:
-            key, gram, first, size, digest, _ = flagged(pdf, seen, bits, bitmap.value)
-            yield pd.DataFrame({"gram": gram, "digest": digest, "key": key, "first": first, "size": size})
-
-    found = src.mapInPandas(entries, "gram long, digest binary, key binary, first long, size long")
-    found = materialize(found.dropDuplicates(["key", "first"]), "entries")
-    contexts = materialize(found.groupBy("gram", "digest").agg(F.count("*").alias("n"), F.min("size").alias("size")), "contexts")
-    mixed = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"), F.min("n").alias("least"))
+            datas, keys = [utf8(t) for t in pdf["text"]], pdf["key"].tolist()
+            text, gram, first, last = anchors(datas, length)
+            at, i, j = text.tolist(), first.tolist(), (last + length).tolist()
+            digest = [xxhash.xxh3_128_digest(datas[t][a:b]) for t, a, b in zip(at, i, j, strict=True)]
+            yield pd.DataFrame({"gram": gram, "digest": digest, "key": [keys[t] for t in at], "first": i, "size": last + length - first})
+
+    found = materialize(distinct.select("key", "text").mapInPandas(entries, "gram long, digest binary, key binary, first int, size int"), "entries")
+    where = F.min(F.struct("key", "first", "size")).alias("w")
+    contexts = materialize(found.groupBy("gram", "digest").agg(F.count("*").alias("n"), where), "contexts")
+    mixed = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum("w.size").alias("bytes"), F.min("n").alias("least"))
     mixed = materialize(mixed.where("m > 1 AND least = 1").select("gram", "bytes"), "mixed")
-    n_mixed, n_bytes = mixed.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("bytes") <= heavy, F.col("bytes"))), F.lit(0))).first()
-    wanted, wanted_map = repeated_filter(mixed.select("gram").union(mixed.select("gram")), "gram", n_mixed)
-
-    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
-        for pdf in batches:
-            _, gram, _, _, digest, body = flagged(pdf, seen, wanted, wanted_map.value)
-            yield pd.DataFrame({"gram": gram, "digest": digest, "body": body}).drop_duplicates(["gram", "digest"])
-
-    texts = src.mapInPandas(bodies, "gram long, digest binary, body binary").dropDuplicates(["gram", "digest"])
-    texts = materialize(texts.join(mixed, "gram"), "bodies")
+    n_bytes = mixed.agg(F.coalesce(F.sum(F.when(F.col("bytes") <= heavy, F.col("bytes"))), F.lit(0))).first()[0]
     shards = max(1, -(-int(n_bytes) // SHARD))
+    wanted = contexts.join(mixed, "gram").groupBy("w.key").agg(F.collect_list(F.struct("gram", "digest", "n", "bytes", "w.first", "w.size")).alias("xs"))
+    # a text's own entries, which its bytes bound
+    bodies = distinct.select("key", F.encode("text", "UTF-8").alias("data")).join(wanted, "key")
+    bodies = bodies.select("data", F.explode("xs").alias("x"))
+    bodies = bodies.select("x.gram", "x.digest", "x.n", "x.bytes", F.substring(F.col("data"), F.col("x.first") + 1, F.col("x.size")).alias("body"))
+    bodies = materialize(bodies, "bodies")
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         """Anchors are indexed together up to INDEX bytes, so that memory is bounded."""
         pdf = pdf.sort_values("gram", kind="stable").reset_index(drop=True)
-        size, gram = pdf["body"].map(len).to_numpy(), pdf["gram"].to_numpy()
+        size, gram, twins = pdf["body"].map(len).to_numpy(), pdf["gram"].to_numpy(), pdf["n"].to_numpy() > 1
         marked, begin = [], 0
         ends = np.append(np.flatnonzero(np.diff(gram)) + 1, len(gram))  # of each anchor's contexts
         for i, end in enumerate(ends.tolist()):
             if i + 1 == len(ends) or size[begin : ends[i + 1]].sum() > INDEX:
-                matches = match_lengths([bytes(b) for b in pdf["body"].iloc[begin:end]])
+                matches = match_lengths([bytes(b) for b in pdf["body"].iloc[begin:end]], twins[begin:end])
                 marked += [_spans(m[: len(m) - length + 1] >= length, length) for m in matches]
                 begin = end
         out = pdf[["gram", "digest"]].assign(spans=[[{"s": s, "e": e} for s, e in x] for x in marked])
         return out[[bool(x) for x in marked]]
 
-    light = texts.where(F.col("bytes") <= heavy).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    light = light.select("shard", "gram", "digest", "body").groupBy("shard").applyInPandas(lambda pdf: index(pdf), MARKS)
+    light = bodies.where(F.col("bytes") <= heavy).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    light = light.select("shard", "gram", "digest", "n", "body").groupBy("shard").applyInPandas(lambda pdf: index(pdf), MARKS)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for g, d, body in zip(pdf["gram"], pdf["digest"], pdf["body"], strict=True):
+            for g, d, n, body in zip(pdf["gram"], pdf["digest"], pdf["n"], pdf["body"], strict=True):
                 at = range(len(body) - length + 1)
-                yield pd.DataFrame({"gram": g, "digest": [d] * len(at), "at": list(at), "w": [xxhash.xxh3_128_digest(body[i : i + length]) for i in at]})
+                w = [xxhash.xxh3_128_digest(body[i : i + length]) for i in at]
+                yield pd.DataFrame({"gram": g, "digest": [d] * len(at), "n": n, "at": list(at), "w": w})
 
-    hashed = texts.where(F.col("bytes") > heavy).select("gram", "digest", "body")
-    hashed = hashed.mapInPandas(windows, "gram long, digest binary, at long, w binary")
-    again = hashed.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
+    hashed = bodies.where(F.col("bytes") > heavy).select("gram", "digest", "n", "body")
+    hashed = hashed.mapInPandas(windows, "gram long, digest binary, n long, at int, w binary")
+    again = hashed.groupBy("w").agg(F.sum("n").alias("c")).where("c > 1").select("w")
     span = F.struct(F.col("at").alias("s"), (F.col("at") + length).alias("e"))
     plain = hashed.join(again, "w").groupBy("gram", "digest").agg(F.collect_list(span).alias("spans"))
 
-    every = contexts.where("n > 1").select(
-        "gram", "digest", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("size").alias("e"))).alias("spans")
+    every = contexts.where("n > 1").join(mixed, "gram", "left_anti").select(
+        "gram", "digest", F.array(F.struct(F.lit(0).alias("s"), F.col("w.size").alias("e"))).alias("spans")
     )
-    partly = light.unionByName(plain).join(contexts.where("n = 1").select("gram", "digest"), ["gram", "digest"])
-    marks = materialize(every.unionByName(partly), "marks")
+    marks = materialize(every.unionByName(light).unionByName(plain), "marks")
     spans = found.join(marks, ["gram", "digest"]).select("key", "first", F.explode("spans").alias("x"))
     spans = spans.select("key", F.struct((F.col("first") + F.col("x.s")).alias("s"), (F.col("first") + F.col("x.e")).alias("e")).alias("x"))
     parts = spans.groupBy("key").agg(F.collect_list("x").alias("spans")).join(full.select("key"), "key", "left_anti")
@@ -303,8 +301,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     are ignored and an empty table gives no rows.
     """
     cover = repeated_spans(docs, length, text_col, heavy)
-    keys = cover.select(F.xxhash64("key").alias("k"))
-    filt = repeated_filter(keys.union(keys), "k", cover.count())
+    keys, n_keys = cover.select(F.xxhash64("key").alias("k")), one_segment(cover.count())
+    filt = load(repeated_blocks(keys.union(keys), n_keys), n_keys)  # a key in twice tests positive; beyond a segment's size more texts move
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     src = src.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     src = src.withColumn("hit", maybe_repeated(F.xxhash64("key"), filt))

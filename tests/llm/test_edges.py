@@ -68,11 +68,24 @@ def test_bloom_has_no_false_negatives(spark):
     rng = np.random.default_rng(1)
     keys = rng.integers(-(1 << 62), 1 << 62, 5000)
     df = spark.createDataFrame([(int(k),) for k in [*keys, *keys[:500], *keys[:20]]], "k long").repartition(7)
-    filt = bloom.repeated_filter(df, "k", 5520)
+    filt = bloom.load(bloom.repeated_blocks(df, 5520), 5520)
     found = {r.k for r in df.where(bloom.maybe_repeated(F.col("k"), filt)).collect()}
     assert {int(k) for k in keys[:500]} <= found and len(found) < 800
-    small = bloom.repeated_filter(df.where("false"), "k", 0)
-    assert not bloom.test_keys(keys, small[0], small[1].value).any()
+    small = bloom.load(bloom.repeated_blocks(df.where("false"), 0), 0)
+    assert not small.again(keys).any()
+
+
+def test_bloom_segments_give_the_same_groups(spark, docs, monkeypatch):
+    """More keys than a segment holds: every row passes once, with the filter of its own segment."""
+    whole = Counter(map(tuple, exact.exact_groups(docs).collect()))
+    kept = Counter(map(str, exact.drop_exact_copies(docs).collect()))
+    monkeypatch.setattr(bloom, "BLOCK_BITS", 64)
+    monkeypatch.setattr(bloom, "SEGMENT", 2)
+    assert bloom.n_segments(len(rows())) > 2
+    assert Counter(map(tuple, exact.exact_groups(docs).collect())) == whole and Counter(map(str, exact.drop_exact_copies(docs).collect())) == kept
+    keys = spark.createDataFrame([(hash((i, 7)) if i < 200 else 12345,) for i in range(1000)] + [(None,)], "k long")
+    seen = bloom.split_rows(keys, "k", 201, lambda part: part).collect()
+    assert len(seen) == 1001 and all(r.again for r in seen if r.k in (12345, None)) and sum(r.again for r in seen) < 900
 
 
 def test_components_of_paths_and_stars(spark):
@@ -478,6 +491,17 @@ def _common(a, b):
     return n
 
 
+def test_run_index_is_compressed_and_complete():
+    rng = np.random.default_rng(5)
+    base = bytes(rng.integers(97, 123, 300).astype(np.uint8))
+    texts = [base[i % 7 :] + bytes([65 + i % 20]) for i in range(60)]
+    index = suffix.run_index(texts, np.arange(60) == 3)
+    n = sum(map(len, texts))
+    assert index.length.sum() == n and len(index.symbol) < n / 5  # a repetitive corpus has few runs
+    got = suffix.matching_statistics(index)
+    assert got[3].tolist() == list(range(len(texts[3]), 0, -1)) and got[0][0] == len(texts[0]) - 1
+
+
 @pytest.mark.parametrize("heavy", [suffix.HEAVY, 300])
 def test_repeated_strings(docs, none, heavy):
     got = suffix.remove_repeats(docs, heavy=heavy)
