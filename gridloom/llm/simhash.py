@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import load, one_segment, repeated_blocks
 from .common import LOWER_BYTES, materialize, utf8
 from .components import components
 
@@ -191,7 +192,9 @@ ORDERS = 6
 CROWD = 256
 #: Bits of 256 in which two sets of similarity 0.8 may differ: 39 are expected, with a deviation of 6. Sets below SMALL
 #: shingles have coarser fingerprints and are compared as sets without asking them.
-REACH, SMALL = 64, 32
+REACH, SMALL = 60, 32
+#: Sets up to which all members of a key are compared in one place; larger ones are joined pair by pair.
+BIG = 1 << 16
 #: One text of SAMPLE is read to find common shingles: in SAMPLE_SHARE or more of those, at most COMMON. Texts that hold one get
 #: keys without them besides, which keeps boilerplate from hiding what else they share.
 SAMPLE, SAMPLE_SHARE, COMMON = 64, 4, 1 << 17
@@ -243,6 +246,17 @@ def set_fingerprint(shingles: np.ndarray) -> list[int]:
     return np.packbits(ones * 2 > len(shingles)).view(np.int64).tolist()
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash: what moves to be compared. Of two sets of 400, one pair in ten million differs in that."""
+    return np.ascontiguousarray(shingles).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return np.unique(out.view(np.uint64).ravel())
+
+
 def similar(both, total):
     """Whether sets of ``total`` elements together, of which ``both`` in each, have Jaccard similarity 0.8 or more."""
     return 9 * both >= 4 * total
@@ -279,56 +293,93 @@ def _forest(far: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
+def _possible(node: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits that differ, whether two nodes of different roots may be similar) for all pairs of a key's members."""
+    far = np.bitwise_count(bits[:, None] ^ bits[None, :]).sum(axis=2, dtype=np.int64)
+    less, more = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+    return far, (root[:, None] != root[None, :]) & (5 * less >= 4 * more) & ((far <= REACH) | (less < SMALL))
+
+
+_BITS = ["f0", "f1", "f2", "f3"]
+
+
 def _candidates(members: DataFrame, whole: bool) -> DataFrame:
-    """Pairs (u, v) of nodes that share a key and may be similar, by size and fingerprint, and whose roots differ.
+    """Pairs (u, v, size) of nodes that share a key and may be similar, by size and fingerprint, and whose roots differ.
 
     members: key, node, root, size, f0 to f3, at most CROWD of a key. whole: all such pairs, else a spanning forest of them.
+    size: of the larger set.
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            out = [np.zeros((0, 3), np.int64)]
             for rows in pdf["rows"]:
                 x = np.array(sorted(tuple(r.values()) for r in rows), np.int64)
-                node, root, size, bits = x[:, 0], x[:, 1], x[:, 2], x[:, 3:].view(np.uint64)
-                far = np.bitwise_count(bits[:, None] ^ bits[None, :]).sum(axis=2, dtype=np.int64)
-                less, more = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-                linked = (root[:, None] != root[None, :]) & (5 * less >= 4 * more) & ((far <= REACH) | (less < SMALL))
+                far, linked = _possible(x[:, 0], x[:, 1], x[:, 2], x[:, 3:].view(np.uint64))
                 i, j = np.nonzero(np.triu(linked, 1)) if whole or len(x) == 2 else _forest(far, linked)
-                us.append(np.minimum(node[i], node[j]))
-                vs.append(np.maximum(node[i], node[j]))
-            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+                out.append(np.column_stack((np.minimum(x[i, 0], x[j, 0]), np.maximum(x[i, 0], x[j, 0]), np.maximum(x[i, 2], x[j, 2]))))
+            yield pd.DataFrame(np.concatenate(out), columns=["u", "v", "size"])
 
-    rows = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "size", "f0", "f1", "f2", "f3")).alias("rows"))
-    return rows.where("size(rows) > 1").select("rows").mapInPandas(compare, "u long, v long").distinct()
+    rows = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "size", *_BITS)).alias("rows"))
+    return rows.where("size(rows) > 1").select("rows").mapInPandas(compare, "u long, v long, size long").distinct()
 
 
-def _confirmed(candidates: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, label: str) -> DataFrame:
-    """Those (u, v) whose whole shingle sets have Jaccard similarity 0.8 or more."""
-    compared = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
-    wanted = materialize(texts.join(compared, "node").groupBy("node").agg(F.min("tid").alias("tid")).select("tid"), f"{label}-wanted")
+def _sets(pairs: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, label: str) -> DataFrame:
+    """(node, shingles) of all nodes in the pairs (u, v), and of a few others; read from one text of each."""
+    compared = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = materialize(texts.join(compared, "node").groupBy("node").agg(F.min("tid").alias("tid")), f"{label}-wanted")
+    # a filter lets the wanted texts through where they lie; the few others that pass find no pair
+    keys, n_keys = wanted.select(F.xxhash64("tid").alias("k")), one_segment(wanted.count())
+    filt = load(repeated_blocks(keys.union(keys), n_keys), n_keys)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf[filt.again(pdf["k"].to_numpy(np.int64))]
             found = [shingle_set(_words(t), shingle) for t in pdf["text"]]
-            yield pd.DataFrame({"node": [set_id(h) for h in found], "shingles": [h.tobytes() for h in found]})
+            yield pd.DataFrame({"node": [set_id(h) for h in found], "shingles": [packed(h) for h in found]})
+
+    sets = src.select(F.xxhash64("tid").alias("k"), "text").mapInPandas(whole, "node long, shingles binary")
+    return materialize(sets.dropDuplicates(["node"]), f"{label}-sets")
+
 
-    sets = src.join(wanted, "tid", "left_semi").select("text").mapInPandas(whole, "node long, shingles binary")
-    sets = materialize(sets.dropDuplicates(["node"]), f"{label}-sets")
+def _like(x: np.ndarray, y: np.ndarray) -> bool:
+    return bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """Those (u, v) whose whole shingle sets have Jaccard similarity 0.8 or more."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
+            ok = [_like(unpacked(x), unpacked(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pdf.loc[np.array(ok, bool), ["u", "v"]]
 
-    both = candidates.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
+    both = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
     return materialize(both.mapInPandas(confirm, "u long, v long"), f"{label}-edges")
 
 
+def _confirmed_together(members: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """As _confirmed for all possible pairs of each key's members, whose sets of at most BIG shingles meet once for a key."""
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            us, vs = [], []
+            for rows in pdf["rows"]:
+                node, root, size = (np.array([r[c] for r in rows], np.int64) for c in ("node", "root", "size"))
+                bits = np.array([[r[c] for c in _BITS] for r in rows], np.int64).view(np.uint64)
+                own = [unpacked(r["shingles"]) for r in rows]
+                for i, j in zip(*np.nonzero(np.triu(_possible(node, root, size, bits)[1], 1)), strict=True):
+                    if root[i] != root[j] and _like(own[i], own[j]):
+                        us.append(int(node[i]))
+                        vs.append(int(node[j]))
+                        root[root == root[j]] = root[i]
+            yield pd.DataFrame({"u": us, "v": vs}, dtype=np.int64)
+
+    rows = members.join(sets, "node").groupBy("key").agg(F.collect_list(F.struct("node", "root", "size", *_BITS, "shingles")).alias("rows"))
+    return materialize(rows.where("size(rows) > 1").select("rows").mapInPandas(confirm, "u long, v long"), f"{label}-edges")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
@@ -356,7 +407,7 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
 
     schema = "tid binary, node long, size long, f0 long, f1 long, f2 long, f3 long, keys array<long>"
     texts = materialize(src.mapInPandas(read, schema), "near-texts")
-    values = ["size", "f0", "f1", "f2", "f3"]
+    values = ["size", *_BITS]
     nodes = texts.groupBy("node").agg(*[F.first(c).alias(c) for c in [*values, "keys"]])
     nodes = materialize(nodes, "near-nodes")
 
@@ -372,7 +423,11 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
     few_again, crowds = shared(double.select(F.explode(F.expr(pairs_of)).alias("key"), "node"), "near-double")
     crowds = many.union(crowds)
     first = crowds.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node")).getField("node").alias("v"))
-    to_first = crowds.join(materialize(first, "near-first"), "key").select(F.col("node").alias("u"), "v")
+    first = materialize(first.join(nodes.select(F.col("node").alias("v"), *[F.col(c).alias(f"v{c}") for c in values]), "v"), "near-first")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"v{c}"))) for c in _BITS])
+    less, more = F.least("size", "vsize"), F.greatest("size", "vsize")
+    to_first = crowds.join(nodes.select("node", *values), "node").join(first, "key").where((5 * less >= 4 * more) & ((differ <= REACH) | (less < SMALL)))
+    to_first = to_first.select(F.col("node").alias("u"), "v")
     members = materialize(few.union(few_again).join(nodes.select("node", *values), "node"), "near-compared")
 
     # fingerprints of 64 bits within two bits: each links its nodes to the least of them, which stands for it
@@ -382,14 +437,17 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
     equal = nodes.join(heads, "f0").select(F.col("node").alias("u"), F.col("head").alias("v"))
     alone = members.withColumn("root", F.col("node"))
     known = [close.select(F.col("a").alias("u"), F.col("b").alias("v")), equal, to_first]
-    known = materialize(_ordered(reduce(DataFrame.union, known)).union(_candidates(alone, whole=False)).distinct(), "near-first-pairs")
-    edges = _confirmed(known, texts, src, shingle, "near-first")
+    known = reduce(DataFrame.union, [*known, _candidates(alone, whole=False).select("u", "v")])
+    known = materialize(_ordered(known).distinct(), "near-first-pairs")
+    edges = _confirmed(known, _sets(known, texts, src, shingle, "near-first"), "near-first")
 
     roots = materialize(components(edges), "near-roots")
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    rest = _candidates(rooted.join(mixed, "key", "left_semi"), whole=True).join(known, ["u", "v"], "left_anti")
-    more = _confirmed(materialize(rest, "near-other-pairs"), texts, src, shingle, "near-other")
+    rooted = materialize(rooted.join(mixed, "key", "left_semi"), "near-rooted")
+    rest = materialize(_candidates(rooted, whole=True).join(known, ["u", "v"], "left_anti"), "near-other-pairs")
+    sets = _sets(rest, texts, src, shingle, "near-other")
+    more = _confirmed_together(rooted.where(F.col("size") <= BIG), sets, "near-other").union(_confirmed(rest.where(F.col("size") > BIG), sets, "near-big"))
     roots = materialize(components(edges.union(more)), "near-roots")
     found = texts.groupBy("tid").agg(F.first("node").alias("node"), F.count("*").alias("n_rows"))
     return found.join(roots, "node", "left").select("tid", F.coalesce("root", "node").alias("root"), "n_rows")
