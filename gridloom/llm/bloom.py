@@ -119,6 +119,13 @@ def load(table: DataFrame, n_keys: int, segment: int = 0) -> Filter:
     return Filter(blocks, first, BLOCK_BITS, table.sparkSession.sparkContext.broadcast(bitmap.tobytes()))
 
 
+def member_filter(keys: DataFrame, key: str) -> Filter:
+    """A filter that the keys of a table pass, and few others. It has one segment: beyond what that is made for more others pass."""
+    k = keys.select(F.col(key).alias("k"))
+    n_keys = one_segment(k.count())
+    return load(repeated_blocks(k.union(k), n_keys), n_keys)
+
+
 def maybe_repeated(key: Column, filt: Filter) -> Column:
     """False only where the key certainly occurs once; null keys count as possibly repeated. Keys are of filt's segment."""
 

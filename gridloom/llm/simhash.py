@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import load, one_segment, repeated_blocks
+from .bloom import member_filter
 from .common import LOWER_BYTES, materialize, utf8
 from .components import components
 
@@ -329,8 +329,7 @@ def _sets(pairs: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, labe
     compared = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     wanted = materialize(texts.join(compared, "node").groupBy("node").agg(F.min("tid").alias("tid")), f"{label}-wanted")
     # a filter lets the wanted texts through where they lie; the few others that pass find no pair
-    keys, n_keys = wanted.select(F.xxhash64("tid").alias("k")), one_segment(wanted.count())
-    filt = load(repeated_blocks(keys.union(keys), n_keys), n_keys)
+    filt = member_filter(wanted.select(F.xxhash64("tid").alias("k")), "k")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -3,8 +3,8 @@
 A byte goes if a LENGTH-byte string that covers it starts anywhere else in the corpus too. The corpus is cut into
 pieces that can be indexed apart: the least hash among the GRAM-byte grams of a window is its anchor, equal windows have
 equal anchors at equal places, and a run of windows with one anchor is an entry with a context of at most 337 bytes.
-Equal contexts collapse into one that counts them. An anchor with a single context is decided by that count; the contexts
-of all other anchors that can match go to index shards, by anchor, and come from the texts by one join.
+Entries whose anchor occurs once are dropped. Equal contexts collapse into one that counts them. An anchor with a single
+context is decided by that count; the contexts of all other anchors that can match go to index shards, by anchor.
 
 A shard sorts the suffixes of its contexts and keeps their Burrows-Wheeler transform as runs, with a sample at both ends of each
 run: the suffix there and how far it matches its neighbour outside the run. Inside a run a suffix continues the match of the
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import load, maybe_repeated, one_segment, repeated_blocks
+from .bloom import Filter, maybe_repeated, member_filter
 from .common import materialize, utf8
 
 LENGTH, GRAM = 200, 64
@@ -207,7 +207,7 @@ def _spans(marked: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(at[np.concatenate(([0], gap + 1))].tolist(), (at[np.append(gap, len(at) - 1)] + length).tolist(), strict=True))
 
 
-MARKS = "gram long, digest binary, spans array<struct<s: int, e: int>>"
+MARKS = "gram long, digest long, spans array<struct<s: int, e: int>>"
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -217,31 +217,51 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     """
     src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     src = src.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("key"), "text")
-    distinct = materialize(src.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("c")), "texts")
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.octet_length("text").alias("e")))
-    full = materialize(distinct.where("c > 1").select("key", whole.alias("spans")), "copied")
+    copies = src.groupBy("key").agg(F.count("*").alias("c"), F.min(F.octet_length("text")).alias("n")).where("c > 1")
+    full = copies.select("key", F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e"))).alias("spans"))
+    full = materialize(full, "copied")
+
+    def cut(pdf: pd.DataFrame, seen: set[bytes], filt: Filter | None) -> tuple[pd.DataFrame, list[bytes]]:
+        """Entries of texts not seen before in this task, with an anchor that passes the filter, and their contexts.
+
+        Copies in other tasks only raise counts of strings that repeat in any case.
+        """
+        fresh = {k: t for k, t in zip(pdf["key"], pdf["text"], strict=True) if k not in seen}
+        seen.update(fresh)
+        keys, datas = list(fresh), [utf8(t) for t in fresh.values()]
+        text, gram, first, last = anchors(datas, length)
+        if filt is not None:
+            hit = filt.again(gram)
+            text, gram, first, last = text[hit], gram[hit], first[hit], last[hit]
+        at, i, j = text.tolist(), first.tolist(), (last + length).tolist()
+        bodies = [datas[t][a:b] for t, a, b in zip(at, i, j, strict=True)]
+        digest = np.array([xxhash.xxh3_64_intdigest(b) for b in bodies], np.uint64).view(np.int64)
+        return pd.DataFrame({"gram": gram, "digest": digest, "key": [keys[t] for t in at], "first": i, "size": last + length - first}), bodies
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
         for pdf in batches:
-            datas, keys = [utf8(t) for t in pdf["text"]], pdf["key"].tolist()
-            text, gram, first, last = anchors(datas, length)
-            at, i, j = text.tolist(), first.tolist(), (last + length).tolist()
-            digest = [xxhash.xxh3_128_digest(datas[t][a:b]) for t, a, b in zip(at, i, j, strict=True)]
-            yield pd.DataFrame({"gram": gram, "digest": digest, "key": [keys[t] for t in at], "first": i, "size": last + length - first})
-
-    found = materialize(distinct.select("key", "text").mapInPandas(entries, "gram long, digest binary, key binary, first int, size int"), "entries")
-    where = F.min(F.struct("key", "first", "size")).alias("w")
-    contexts = materialize(found.groupBy("gram", "digest").agg(F.count("*").alias("n"), where), "contexts")
-    mixed = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum("w.size").alias("bytes"), F.min("n").alias("least"))
+            yield cut(pdf, seen, None)[0]
+
+    every = materialize(src.mapInPandas(entries, "gram long, digest long, key binary, first int, size int"), "entries")
+    again = materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated")
+    found = every.where(maybe_repeated(F.col("gram"), member_filter(again, "gram")))
+    contexts = materialize(found.groupBy("gram", "digest").agg(F.count("*").alias("n"), F.min("size").alias("size")), "contexts")
+    mixed = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"), F.min("n").alias("least"))
     mixed = materialize(mixed.where("m > 1 AND least = 1").select("gram", "bytes"), "mixed")
     n_bytes = mixed.agg(F.coalesce(F.sum(F.when(F.col("bytes") <= heavy, F.col("bytes"))), F.lit(0))).first()[0]
     shards = max(1, -(-int(n_bytes) // SHARD))
-    wanted = contexts.join(mixed, "gram").groupBy("w.key").agg(F.collect_list(F.struct("gram", "digest", "n", "bytes", "w.first", "w.size")).alias("xs"))
-    # a text's own entries, which its bytes bound
-    bodies = distinct.select("key", F.encode("text", "UTF-8").alias("data")).join(wanted, "key")
-    bodies = bodies.select("data", F.explode("xs").alias("x"))
-    bodies = bodies.select("x.gram", "x.digest", "x.n", "x.bytes", F.substring(F.col("data"), F.col("x.first") + 1, F.col("x.size")).alias("body"))
-    bodies = materialize(bodies, "bodies")
+    wanted = member_filter(mixed, "gram")
+
+    def contexts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
+        for pdf in batches:
+            frame, bodies = cut(pdf, seen, wanted)
+            yield frame[["gram", "digest"]].assign(body=bodies).drop_duplicates(["gram", "digest"])
+
+    bodies = src.mapInPandas(contexts_of, "gram long, digest long, body binary").dropDuplicates(["gram", "digest"])
+    counted = contexts.join(mixed, "gram").select("gram", "digest", "n", "bytes")
+    bodies = materialize(bodies.join(counted, ["gram", "digest"]), "bodies")
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         """Anchors are indexed together up to INDEX bytes, so that memory is bounded."""
@@ -268,19 +288,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
                 yield pd.DataFrame({"gram": g, "digest": [d] * len(at), "n": n, "at": list(at), "w": w})
 
     hashed = bodies.where(F.col("bytes") > heavy).select("gram", "digest", "n", "body")
-    hashed = hashed.mapInPandas(windows, "gram long, digest binary, n long, at int, w binary")
-    again = hashed.groupBy("w").agg(F.sum("n").alias("c")).where("c > 1").select("w")
+    hashed = hashed.mapInPandas(windows, "gram long, digest long, n long, at int, w binary")
+    twice = hashed.groupBy("w").agg(F.sum("n").alias("c")).where("c > 1").select("w")
     span = F.struct(F.col("at").alias("s"), (F.col("at") + length).alias("e"))
-    plain = hashed.join(again, "w").groupBy("gram", "digest").agg(F.collect_list(span).alias("spans"))
+    plain = hashed.join(twice, "w").groupBy("gram", "digest").agg(F.collect_list(span).alias("spans"))
 
-    every = contexts.where("n > 1").join(mixed, "gram", "left_anti").select(
-        "gram", "digest", F.array(F.struct(F.lit(0).alias("s"), F.col("w.size").alias("e"))).alias("spans")
+    alike = contexts.where("n > 1").join(mixed, "gram", "left_anti").select(
+        "gram", "digest", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("spans")
     )
-    marks = materialize(every.unionByName(light).unionByName(plain), "marks")
+    marks = materialize(alike.unionByName(light).unionByName(plain), "marks")
     spans = found.join(marks, ["gram", "digest"]).select("key", "first", F.explode("spans").alias("x"))
     spans = spans.select("key", F.struct((F.col("first") + F.col("x.s")).alias("s"), (F.col("first") + F.col("x.e")).alias("e")).alias("x"))
-    parts = spans.groupBy("key").agg(F.collect_list("x").alias("spans")).join(full.select("key"), "key", "left_anti")
-    return materialize(full.unionByName(parts), "cover")
+    spans = spans.join(full.select("key"), "key", "left_anti").distinct()
+    return materialize(full.unionByName(spans.groupBy("key").agg(F.collect_list("x").alias("spans"))), "cover")
 
 
 def remove(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -301,8 +321,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     are ignored and an empty table gives no rows.
     """
     cover = repeated_spans(docs, length, text_col, heavy)
-    keys, n_keys = cover.select(F.xxhash64("key").alias("k")), one_segment(cover.count())
-    filt = load(repeated_blocks(keys.union(keys), n_keys), n_keys)  # a key in twice tests positive; beyond a segment's size more texts move
+    filt = member_filter(cover.select(F.xxhash64("key").alias("k")), "k")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     src = src.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     src = src.withColumn("hit", maybe_repeated(F.xxhash64("key"), filt))
