@@ -6,6 +6,7 @@ import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import FeatureUnsupported, ProcessParameterInvalid
@@ -62,6 +63,42 @@ def features(spark: SparkSession, source: dict | list | str) -> DataFrame:
     return spark.createDataFrame(rows, FEATURES)
 
 
+def geojson_rows(found: DataFrame) -> DataFrame:
+    """Features of parsed GeoJSON (file_path, line, at, f), numbered in that order; coordinates are still JSON text.
+
+    Only the geometries' own JSON is read, by column functions. Numbering orders all features once: a feature table is small
+    beside the pixels it is asked of.
+    """
+    g = F.col("f.geometry")
+    pair = "array<double>"
+    point = F.from_json(g["coordinates"], pair)
+    polygon = F.from_json(g["coordinates"], f"array<array<{pair}>>")
+    several = F.from_json(g["coordinates"], f"array<array<array<{pair}>>>")
+    xy = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    rings = F.when(g["type"] == "Point", F.array(F.array(xy(point)))).when(g["type"] == "Polygon", F.transform(polygon, lambda r: F.transform(r, xy)))
+    rings = rings.when(g["type"] == "MultiPolygon", F.transform(F.flatten(several), lambda r: F.transform(r, xy)))
+    rings = F.when(rings.isNull(), F.raise_error(F.concat(F.lit("geometry type "), F.coalesce(g["type"], F.lit("none"))))).otherwise(rings)
+    index = (F.row_number().over(W.orderBy("file_path", "line", "at")) - 1).cast("int")
+    props = F.coalesce(F.col("f.properties"), F.create_map().cast("map<string,string>"))
+    rows = found.select(index.alias("feature_index"), "f", rings.alias("rings"), (g["type"] == "Point").alias("point"), props.alias("props"))
+    name = F.coalesce("f.id", F.try_element_at("props", F.lit("id")), F.col("feature_index").cast("string"))
+    return rows.select("feature_index", name.alias("feature_id"), "rings", "point", "props")
+
+
+def as_geojson(feats: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(value): one GeoJSON feature to a line; columns (by default all others) join the properties. Rings are one polygon."""
+    known = ["feature_index", "feature_id", "rings", "point", "props"]
+    extra = [c for c in feats.columns if c not in known] if columns is None else columns
+    outline = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+    flat = lambda c, kind: F.struct(F.lit(kind).alias("type"), c.alias("coordinates"))
+    props = F.map_concat("props", F.map_from_arrays(F.array(*[F.lit(c) for c in extra]), F.array(*[F.col(f"`{c}`").cast("string") for c in extra]))) if extra else F.col("props")
+    parts = [F.lit("Feature").alias("type"), F.col("feature_id").alias("id"), props.alias("properties")]
+    first = F.get(F.get(outline, F.lit(0)), F.lit(0))
+    return feats.select(
+        F.when(F.col("point"), F.to_json(F.struct(*parts, flat(first, "Point").alias("geometry")))).otherwise(F.to_json(F.struct(*parts, flat(outline, "Polygon").alias("geometry")))).alias("value")
+    )
+
+
 def inside(x: Column, y: Column, rings: Column) -> Column:
     """Even-odd rule: whether (x, y) lies within the rings, holes and parts included."""
 

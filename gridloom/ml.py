@@ -39,9 +39,14 @@ def fit_class_catboost(*_, **__):
     raise FeatureUnsupported("there is no such library here; use fit_class_random_forest")
 
 
-def predict_class(cube: Cube, model: PipelineModel, target_band: str = "prediction") -> Cube:
-    """Per-cell prediction; cells with a NULL band get no-data. Bands must be named as the model's predictors."""
+def predict_class(cube: Cube, model: PipelineModel, target_band: str = "prediction", by_position: bool = False) -> Cube:
+    """Per-cell prediction; cells with a NULL band get no-data. Bands are named as the model's predictors, or with by_position
+    stand in their order, as a reducer's data do."""
     wanted = model.stages[0].getInputCols()
+    if by_position and list(wanted) != cube.bands:
+        if len(wanted) != len(cube.bands):
+            raise ProcessParameterInvalid(f"the model reads {len(wanted)} bands, the cube has {len(cube.bands)}")
+        cube = cube.select({n: F.col(b) for n, b in zip(wanted, cube.bands, strict=True)})
     if missing := [c for c in wanted if c not in cube.bands]:
         raise ProcessParameterInvalid(f"the cube lacks {', '.join(missing)}")
     whole = cube.df.dropna(subset=list(wanted))

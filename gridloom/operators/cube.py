@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,12 @@ def instant(value: str) -> Column:
     return F.to_timestamp_ntz(F.lit(text if len(text) > 10 else text + " 00:00:00"))
 
 
+def _moment(value: str) -> datetime:
+    """A date or timestamp, however it is spelled; naive ones are UTC."""
+    got = datetime.fromisoformat(str(value).strip().replace("Z", "+00:00"))
+    return got.replace(tzinfo=UTC) if got.tzinfo is None else got
+
+
 def conversion(c: Column, kind: str) -> Column:
     """Cast to a cell type: whole numbers truncate, and values outside the type become no-data."""
     base = kind.split("ud")[0]
@@ -88,7 +95,7 @@ class Cube:
         if not self.meta.temporal:
             raise DimensionNotAvailable("t")
         t, out = F.col("t"), self
-        if start is not None and end is not None and str(start) >= str(end):
+        if start is not None and end is not None and _moment(start) >= _moment(end):
             return self.where(t.between(instant(start), instant(end)))
         if start is not None:
             out = out.where(t >= instant(start))

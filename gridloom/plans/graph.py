@@ -20,7 +20,7 @@ from ..model import FeatureUnsupported, ProcessParameterInvalid, ProcessUnsuppor
 from ..operators import spatial
 from ..operators.cube import Cube
 from ..sinks import files
-from ..sources import items, synthetic, tables  # noqa: F401  (synthetic registers itself)
+from ..sources import items, stac, synthetic, tables  # noqa: F401  (synthetic registers itself)
 
 Process = Callable[["Evaluator", dict], Any]
 PROCESSES: dict[str, Process] = {}
@@ -148,6 +148,18 @@ def _udf(callback: Any) -> dict | None:
     return nodes[0]["arguments"]
 
 
+def _forest(callback: Any, context: Any) -> Any | None:
+    """The model of a callback that is one predict_random_forest node over the data: given there, or as the context."""
+    graph = as_graph(callback) if isinstance(callback, dict) else {}
+    nodes = [n for n in graph.values() if isinstance(n, dict) and n.get("process_id") == "predict_random_forest"]
+    if not nodes:
+        return None
+    if len(graph) > 1:
+        raise FeatureUnsupported("a model among other processes in a callback")
+    model = nodes[0]["arguments"].get("model")
+    return context if model == {"from_parameter": "context"} else model
+
+
 def _tiles(cube: Cube, a: dict, udf_args: dict, **options: Any) -> Cube:
     from .. import udf
 
@@ -181,12 +193,15 @@ def _load_url(e, a):
 def _load_stac(e, a):
     extent = a.get("spatial_extent")
     box = [extent[k] for k in ("west", "south", "east", "north")] if extent else None
-    return items.query(items.read_catalog(e.spark, a["url"]), box, a.get("temporal_extent"), a.get("properties"))
+    return stac.from_url(e.spark, a["url"], a.get("featureflags") or {}, a.get("bands"), box, a.get("temporal_extent"), a.get("properties"))
 
 
 @process("query_stac")
 def _query_stac(e, a):
-    return items.query_json(_load_stac(e, a))
+    extent = a.get("spatial_extent")
+    box = [extent[k] for k in ("west", "south", "east", "north")] if extent else None
+    found = items.read_catalog(e.spark, a["url"]) if a["url"].endswith(".jsonl") else stac.walk(e.spark, a["url"], box, a.get("temporal_extent"))
+    return items.query_json(items.query(found, box, a.get("temporal_extent"), a.get("properties")))
 
 
 @process("filter_temporal")
@@ -258,6 +273,12 @@ def _apply_dimension(e, a):
 def _reduce_dimension(e, a):
     if own := _udf(a["reducer"]):
         return _reduced(_tiles(a["data"], a, own), a["data"].meta.kind_of(a["dimension"]))
+    if (model := _forest(a["reducer"], a.get("context"))) is not None:
+        from .. import ml
+
+        if a["data"].meta.kind_of(a["dimension"]) != "bands":
+            raise FeatureUnsupported("a model reads bands")
+        return ml.predict_class(a["data"], model, "value", by_position=True)
     return a["data"].reduce_dimension(a["dimension"], a["reducer"], a.get("context"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
 from ..model import FormatUnsupported
 from ..operators.cube import Cube
 
@@ -73,10 +74,12 @@ def export_result(spark: SparkSession, path: str, target: str, merge: bool = Fal
 
 
 def save_features(table: DataFrame, path: str, format: str = "parquet") -> None:
-    """Zonal statistics or features as Parquet, CSV, JSON lines or coverage JSON."""
+    """Zonal statistics or features as Parquet, CSV, JSON lines, coverage JSON or (features) GeoJSON, one feature to a line."""
     fmt = format.lower()
     if fmt == "covjson":
         coverage_json(table).write.text(path)
+    elif fmt == "geojson":
+        geo.as_geojson(table).write.text(path)
     elif fmt in ("parquet", "csv", "json"):
         (table.write.option("header", True) if fmt == "csv" else table.write).format(fmt).save(path)
     else:

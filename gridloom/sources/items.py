@@ -18,6 +18,8 @@ SCHEMA = (
     "id string, datetime timestamp_ntz, start timestamp_ntz, end timestamp_ntz, west double, south double, east double, north double, "
     "properties map<string,string>, assets array<struct<name: string, href: string, type: string, roles: array<string>, bands: array<string>, gsd: double>>"
 )
+#: Times the time tolerance: items of one key that are ordered together.
+SPAN = 1000
 OPERATORS = ("eq", "like", "lte", "gte", "in")
 
 
@@ -170,16 +172,29 @@ def deduplicate(
         for p, vs in (preference or {}).items()
     ]
     key = F.to_json(F.array(*[F.try_element_at("properties", F.lit(p)) for p in properties])) if properties else F.lit("")
-    rank = F.struct(*[s.alias(f"s{i}") for i, s in enumerate(score)], F.coalesce(F.try_element_at("properties", F.lit("updated")), F.lit("")).alias("u"), F.col("id").alias("i"))
-    w = W.partitionBy("_key").orderBy("_time", "id")
-    df = items.withColumns({"_key": key, "_time": F.unix_micros(F.coalesce("datetime", "start").cast("timestamp")), "_rank": F.to_json(rank)})
-    df = df.withColumn("_new", (F.col("_time") - F.lag("_time").over(w) >= int(seconds * 1e6)).cast("int"))
-    df = df.withColumn("_session", F.sum(F.coalesce("_new", F.lit(0))).over(w)).drop("_new")
-    df = df.withColumn("_order", F.row_number().over(W.partitionBy("_key").orderBy(rank)))  # the rank as a number
+    df = items.select(
+        "id", key.alias("_key"), F.coalesce(F.unix_micros(F.coalesce("datetime", "start").cast("timestamp")), F.lit(0)).alias("_time"), "west", "south", "east", "north",
+        F.array(*score, F.lit(0)).alias("_score"), F.coalesce(F.try_element_at("properties", F.lit("updated")), F.lit("")).alias("_updated"),
+    )
+    # items of one key are ordered in spans of time; what a span needs of those before it comes from one row for each span
+    span = max(1, int(SPAN * max(seconds, 1) * 1e6))
+    df = df.withColumn("_span", F.floor(F.col("_time") / span))
+    spans = df.groupBy("_key", "_span").agg(F.max("_time").alias("_last"))
+    earlier = W.partitionBy("_key").orderBy("_span")
+    spans = spans.select("_key", "_span", F.lag("_last").over(earlier).alias("_before"))
+    w = W.partitionBy("_key", "_span").orderBy("_time", "id")
+    df = df.join(spans, ["_key", "_span"])
+    fresh = F.col("_time") - F.coalesce(F.lag("_time").over(w), F.col("_before")) >= int(seconds * 1e6)
+    df = df.withColumn("_start", F.when(F.coalesce(fresh, F.lit(True)), F.col("_time")))
+    begun = df.groupBy("_key", "_span").agg(F.max("_start").alias("_begun"))
+    begun = begun.select("_key", "_span", F.last("_begun", ignorenulls=True).over(earlier.rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    df = df.join(begun, ["_key", "_span"])
+    df = df.withColumn("_session", F.coalesce(F.last("_start", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.col("_carried")))
 
     def groups(pdf):
         pdf = pdf.sort_values(["_time", "id"], kind="stable").reset_index(drop=True)
-        times, boxes, order = pdf["_time"].to_numpy(), pdf[["west", "south", "east", "north"]].to_numpy(float), pdf["_order"].to_numpy()
+        times, boxes = pdf["_time"].to_numpy(), pdf[["west", "south", "east", "north"]].to_numpy(float)
+        order = [(*map(int, s), u, i) for s, u, i in zip(pdf["_score"], pdf["_updated"], pdf["id"], strict=True)]
         handled, keep = set(), []
         for i in range(len(pdf)):
             if i in handled:
@@ -195,8 +210,8 @@ def deduplicate(
             keep.append(max(group, key=lambda k: order[k]))
         return pdf.loc[sorted(keep), ["id", "_key"]]
 
-    df = df.withColumn("_n", F.count("*").over(W.partitionBy("_key", "_session")))
-    small = df.select("id", "_key", "_session", "_n", "_time", "_order", "west", "south", "east", "north")
+    sizes = df.groupBy("_key", "_session").agg(F.count("*").alias("_n"))
+    small = df.join(sizes, ["_key", "_session"]).select("id", "_key", "_session", "_n", "_time", "_score", "_updated", "west", "south", "east", "north")
     alone = small.where("_n = 1").select("id", "_key")
     kept = small.where("_n > 1").groupBy("_key", "_session").applyInPandas(lambda pdf: groups(pdf), "id string, _key string")
     return items.join(alone.union(kept).select("id"), "id", "left_semi")

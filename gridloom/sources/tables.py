@@ -5,28 +5,40 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..model import Band, CollectionNotFound, CubeMeta, FormatUnsupported, GridSpec
+from ..model import Band, CollectionNotFound, CubeMeta, FormatUnsupported, GridSpec, MissingSpatialFilter
 from ..operators.cube import Cube
 
 Reader = Callable[..., Cube]
 _collections: dict[str, Reader] = {}
+_unbounded: set[str] = set()
 
 
-def register(name: str) -> Callable[[Reader], Reader]:
-    """Add a collection: a function (spark, **options) -> Cube."""
+def register(name: str, bounded: bool = True) -> Callable[[Reader], Reader]:
+    """Add a collection: a function (spark, **options) -> Cube. bounded: whether it may be loaded without a spatial extent."""
 
     def add(reader: Reader) -> Reader:
         _collections[name] = reader
+        if not bounded:
+            _unbounded.add(name)
         return reader
 
     return add
 
 
+def _days(extent: tuple | None) -> int:
+    """Days between two bounds, at least one; an open extent counts one."""
+    if not extent or extent[0] is None or extent[1] is None:
+        return 1
+    first, last = (datetime.fromisoformat(str(x).replace("Z", "")[:10]) for x in extent)
+    return max(1, (last - first).days)
+
+
 def load_collection(
     spark: SparkSession, name: str, spatial_extent: dict | None = None, temporal_extent: tuple | None = None, bands: list | None = None,
     properties: dict | None = None, postprocessing: Callable[[Cube], Cube] | None = None, options: dict | None = None, **more,
@@ -34,7 +46,10 @@ def load_collection(
     """A registered collection, filtered; filters are part of the plan and reach the scan."""
     if name not in _collections:
         raise CollectionNotFound(name)
+    if name in _unbounded and not spatial_extent:
+        raise MissingSpatialFilter(name)
     cube = _collections[name](spark, **(options or {}), **more)
+    _guard(cube.meta, spatial_extent, temporal_extent, bands)
     if temporal_extent:
         cube = cube.filter_temporal(*temporal_extent)
     if spatial_extent:
@@ -52,6 +67,16 @@ def load_collection(
     return cube
 
 
+def _guard(meta: CubeMeta, spatial_extent: dict | None, temporal_extent: tuple | None, bands: list | None) -> None:
+    """Refuse a load of too many cells, from the metadata and the request alone."""
+    grid = meta.grid
+    if spatial_extent and spatial_extent.get("crs") in (None, grid.crs):
+        c0, c1, r0, r1 = grid.cells_in(*[spatial_extent[k] for k in ("west", "south", "east", "north")])
+        grid = replace(grid, width=max(0, c1 - c0 + 1), height=max(0, r1 - r0 + 1))
+    kept = tuple(meta.band(b) for b in bands) if bands else meta.bands
+    replace(meta, grid=grid, bands=kept).guard(_days(temporal_extent) if meta.temporal else 1)
+
+
 def first_available(spark: SparkSession, names: list[str], expected: DataFrame | None = None, **options) -> Cube:
     """The first of several equivalent collections that has all expected (t) dates, else the last."""
     cube = None
@@ -112,6 +137,9 @@ def load_features(spark: SparkSession, path: str, format: str = "geojson") -> Da
         return spark.read.parquet(path)
     if format != "geojson":
         raise FormatUnsupported(format)
-    docs = [json.loads(r.value) for r in spark.read.text(path, wholetext=True).collect()]
-    items = [f for d in docs for f in (d["features"] if d.get("type") == "FeatureCollection" else [d])]
-    return geo.features(spark, {"type": "FeatureCollection", "features": items})
+    feature = "struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
+    raw = spark.read.text(path, wholetext=True).select("_metadata.file_path", F.posexplode(F.split("value", r"\n(?=\s*\{\s*\"type\")")).alias("line", "text"))
+    docs = raw.select("file_path", "line", F.from_json("text", f"type string, id string, properties map<string, string>, geometry struct<type: string, coordinates: string>, features array<{feature}>").alias("d"))
+    one = F.array(F.struct("d.type", "d.id", "d.properties", "d.geometry"))
+    each = docs.select("file_path", "line", F.posexplode(F.when(F.col("d.type") == "FeatureCollection", F.col("d.features")).otherwise(one)).alias("at", "f"))
+    return geo.geojson_rows(each.select("file_path", "line", "at", "f"))
