@@ -712,3 +712,6 @@ def _(spark, sf):
     names = [f"e{i}" for i in range(8)]
     model = ml.fit_class_random_forest(e, e, names, "label", num_trees=10, seed=42)
     return model.transform(e.dropna()).select("feature_index", "label", F.col("prediction").cast("int").alias("predicted"))
+
+
+from . import source_queries  # noqa: E402, F401  (registers its queries here)

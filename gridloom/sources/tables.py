@@ -73,7 +73,7 @@ def _guard(meta: CubeMeta, spatial_extent: dict | None, temporal_extent: tuple |
     if spatial_extent and spatial_extent.get("crs") in (None, grid.crs):
         c0, c1, r0, r1 = grid.cells_in(*[spatial_extent[k] for k in ("west", "south", "east", "north")])
         grid = replace(grid, width=max(0, c1 - c0 + 1), height=max(0, r1 - r0 + 1))
-    kept = tuple(meta.band(b) for b in bands) if bands else meta.bands
+    kept = meta.bands[: len(bands)] if bands else meta.bands
     replace(meta, grid=grid, bands=kept).guard(_days(temporal_extent) if meta.temporal else 1)
 
 
