@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import load, one_segment, repeated_blocks
-from .common import materialize, utf8
+from .common import materialize, sliced, utf8
 
 BLOCK, WIDTH, PAD = 576, 24, b"\xff"
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 8192, 11
@@ -103,7 +103,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             yield pd.DataFrame({"k": _keys([d for t in pdf["text"] for d, _ in chunks(payload_of(t)[0])])})
 
     # a medium's chunks belong to all segments of a filter, so there is one: beyond its size more chunks go to the chunk table
@@ -113,7 +113,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for pdf in batches:
+        for pdf in sliced(batches):
             seen: dict[bytes, bytes] = {}
             for text in pdf["text"]:
                 parts = chunks(payload_of(text)[0])
@@ -126,7 +126,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     def media(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for pdf in batches:
+        for pdf in sliced(batches):
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 payload, n = payload_of(text)
@@ -167,7 +167,7 @@ def read_media(media: DataFrame, table: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in READ.split(", ")]
 
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             rows = [_read_back(r.media_key, r.header, r.digests, r.inline, {}) for r in pdf.itertuples(index=False)]
             yield pd.concat([pdf[["doc_id", "n_bytes"]], pd.DataFrame(rows, columns=names, index=pdf.index)], axis=1)
 
@@ -181,7 +181,7 @@ def read_media(media: DataFrame, table: DataFrame) -> DataFrame:
     fetched = needed.join(table, "digest").groupBy("media_key").agg(F.collect_list(F.struct("at", "data")).alias("fetched"))
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             rows = [
                 (r.media_key, *_read_back(r.media_key, r.header, r.digests, r.inline, {x["at"]: x["data"] for x in r.fetched}))
                 for r in pdf.itertuples(index=False)

@@ -25,7 +25,8 @@ from .common import WORD, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
-CELLS = 4096
+#: Cells of a unit of the logarithm of ranks, at either of two levels; a source has at most 75 times as many.
+CELLS = 1024
 _DIGITS = 13  # hexadecimal digits of the random number: 52 bits
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import member_filter
-from .common import LOWER_BYTES, materialize, utf8
+from .common import LOWER_BYTES, materialize, sliced, utf8
 from .components import components
 
 #: Generator polynomial of the binary Golay code of length 23.
@@ -268,7 +268,7 @@ def _words(text: str | None) -> list[bytes]:
 
 def _common_shingles(src: DataFrame, shingle: int) -> np.ndarray:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             found = [shingle_set(_words(t), shingle) for t in pdf["text"]]
             yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)})
 
@@ -332,7 +332,7 @@ def _sets(pairs: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, labe
     filt = member_filter(wanted.select(F.xxhash64("tid").alias("k")), "k")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             pdf = pdf[filt.again(pdf["k"].to_numpy(np.int64))]
             found = [shingle_set(_words(t), shingle) for t in pdf["text"]]
             yield pd.DataFrame({"node": [set_id(h) for h in found], "shingles": [packed(h) for h in found]})
@@ -396,7 +396,7 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
     common = _common_shingles(src, shingle)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             found = [shingle_set(_words(t), shingle) for t in pdf["text"]]
             bits = np.array([set_fingerprint(h) for h in found], np.int64).reshape(-1, 4)
             yield pd.DataFrame({

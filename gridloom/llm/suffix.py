@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import Filter, maybe_repeated, member_filter
-from .common import materialize, utf8
+from .common import materialize, sliced, utf8
 
 LENGTH, GRAM = 200, 64
 #: Bytes of contexts in a shard, and of anchors indexed together there (about 60 bytes of memory a byte); an anchor whose
@@ -240,7 +240,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
-        for pdf in batches:
+        for pdf in sliced(batches):
             yield cut(pdf, seen, None)[0]
 
     every = materialize(src.mapInPandas(entries, "gram long, digest long, key binary, first int, size int"), "entries")
@@ -255,7 +255,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
 
     def contexts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
-        for pdf in batches:
+        for pdf in sliced(batches):
             frame, bodies = cut(pdf, seen, wanted)
             yield frame[["gram", "digest"]].assign(body=bodies).drop_duplicates(["gram", "digest"])
 
@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             out = []
             for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
                 data = utf8(text)
