@@ -501,9 +501,15 @@ def _(spark, sf):
     return sp.zonal_histogram(src.parts(spark, sf).filter_bands(["psize"]).apply("int"), _polygons(spark))
 
 
-@query("coverage_json")
+@query("coverage_json", f"WITH {LI}, {CELLS}, d AS (SELECT DISTINCT t FROM li), f AS (SELECT unnest(range({len(POLYGONS)}))::INT AS feature_index), z AS (SELECT feature_index, t, avg(qty) AS qty, avg(tax) AS tax FROM inside JOIN li USING (y, x) GROUP BY ALL) SELECT f.feature_index, strftime(d.t, '%Y-%m-%dT%H:%M:%SZ') AS time, round(qty, 6) AS qty, round(tax, 6) AS tax FROM f CROSS JOIN d LEFT JOIN z USING (feature_index, t)")
 def _(spark, sf):
-    return files.coverage_json(sp.aggregate_spatial(src.sales(spark, sf), _polygons(spark), "mean"))
+    """The documents, taken apart again: a coverage for each feature, with its axis and its ranges."""
+    docs = files.coverage_json(sp.aggregate_spatial(src.sales(spark, sf).filter_bands(["qty", "tax"]), _polygons(spark), "mean"))
+    values = "struct<values: array<double>>"
+    form = f"type string, id int, domain struct<axes: struct<t: struct<values: array<string>>>>, ranges struct<qty: {values}, tax: {values}>"
+    parsed = docs.select(F.from_json("value", form).alias("c")).where("c.type = 'Coverage'")
+    rows = parsed.select("c.id", F.explode(F.arrays_zip(F.col("c.domain.axes.t.values").alias("time"), F.col("c.ranges.qty.values").alias("qty"), F.col("c.ranges.tax.values").alias("tax"))).alias("r"))
+    return rows.select(F.col("id").alias("feature_index"), "r.time", "r.qty", "r.tax")
 
 
 @query("vector_to_raster", f"WITH {CELLS} SELECT y, x, (arg_max(feature_index, feature_index) * 1.5::DOUBLE + 1) AS level FROM inside GROUP BY y, x")
@@ -650,9 +656,12 @@ def _(spark, sf):
     return tables.missing_products(every, have, ["t"])
 
 
-@query("query_stac_json")
+@query("query_stac_json", f"WITH {SC} SELECT id, west, status, strftime(datetime, '%Y-%m-%d') AS day FROM sc WHERE west <= 30 AND west + 0.5 >= 0 AND south <= 30 AND south + 0.5 >= 0")
 def _(spark, sf):
-    return items.query_json(items.query(src.scenes(spark, sf), (0, 0, 30, 30)))
+    """The items' documents, taken apart again."""
+    docs = items.query_json(items.query(src.scenes(spark, sf), (0, 0, 30, 30)))
+    parsed = docs.select("id", F.from_json("item", "id string, datetime string, west double, properties map<string, string>").alias("d")).where("id = d.id")
+    return parsed.select("id", "d.west", F.element_at("d.properties", "status").alias("status"), F.substring("d.datetime", 1, 10).alias("day"))
 
 
 # order dates are whole days, so items half a day apart are those of one day

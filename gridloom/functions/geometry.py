@@ -113,6 +113,18 @@ def inside(x: Column, y: Column, rings: Column) -> Column:
     return F.aggregate(F.transform(rings, crossings), F.lit(0), lambda s, c: s + c) % 2 == 1
 
 
+def crossings(y: Column, rings: Column) -> Column:
+    """Where the rings' edges cross a horizontal line, in no order; between the first two and every other two it is inside."""
+
+    def of(ring: Column) -> Column:
+        n = F.size(ring)
+        nxt = lambda i: F.get(ring, F.when(i + 1 < n, i + 1).otherwise(0))
+        cut = lambda p, i: F.when((p["y"] > y) != (nxt(i)["y"] > y), (nxt(i)["x"] - p["x"]) * (y - p["y"]) / (nxt(i)["y"] - p["y"]) + p["x"])
+        return F.filter(F.transform(ring, cut), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(rings, of))
+
+
 def with_bounds(feats: DataFrame) -> DataFrame:
     points = F.flatten("rings")
     pick = lambda axis, fn: fn(F.transform(points, lambda p: p[axis]))

@@ -29,7 +29,8 @@ from .cube import Cube
 def cells_of(feats: DataFrame, grid: GridSpec) -> DataFrame:
     """(feature_index, y, x) of the cells whose centre lies in each feature; a point has its containing cell.
 
-    Only cells within a feature's bounds are generated, row by row, so a feature costs as much as its own extent.
+    Rows within a feature's bounds are cut with its edges, and only the columns between crossings are generated, so a feature
+    costs its rows times its edges and the cells that it has.
     """
     f = geo.with_bounds(feats)
     col = lambda x: F.floor((x - grid.x0) / grid.res_x).cast("int")
@@ -38,9 +39,15 @@ def cells_of(feats: DataFrame, grid: GridSpec) -> DataFrame:
     f = f.withColumns({"c0": col(F.col("west")), "c1": col(F.col("east")), "r0": row(F.col("north")), "r1": row(F.col("south"))})
     f = f.where((F.col("c1") >= 0) & (F.col("c0") < grid.width) & (F.col("r1") >= 0) & (F.col("r0") < grid.height))
     f = f.withColumn("y", F.explode(F.sequence(clip(F.col("r0"), grid.height), clip(F.col("r1"), grid.height))))
-    f = f.withColumn("x", F.explode(F.sequence(clip(F.col("c0"), grid.width), clip(F.col("c1"), grid.width))))
-    cx, cy = grid.x0 + (F.col("x") + 0.5) * grid.res_x, grid.y0 - (F.col("y") + 0.5) * grid.res_y
-    return f.where(F.col("point") | geo.inside(cx, cy, F.col("rings"))).select("feature_index", "y", "x")
+    cy = grid.y0 - (F.col("y") + 0.5) * grid.res_y
+    # the first column whose centre is not left of a crossing
+    first = lambda x: F.least(F.greatest(F.ceil((x - grid.x0) / grid.res_x - 0.5), F.lit(0)), F.lit(grid.width)).cast("int")
+    f = f.withColumn("_cross", F.when(~F.col("point"), F.array_sort(F.transform(geo.crossings(cy, F.col("rings")), first))))
+    span = lambda i: F.when(F.get("_cross", 2 * i) < F.get("_cross", 2 * i + 1), F.sequence(F.get("_cross", 2 * i), F.get("_cross", 2 * i + 1) - 1))
+    n = F.floor(F.size("_cross") / 2).cast("int")
+    spans = F.when(n > 0, F.flatten(F.filter(F.transform(F.sequence(F.lit(0), n - 1), span), lambda s: s.isNotNull())))
+    f = f.withColumn("x", F.explode(F.when(F.col("point"), F.array(clip(F.col("c0"), grid.width))).otherwise(spans)))
+    return f.select("feature_index", "y", "x")
 
 
 def filter_spatial(cube: Cube, feats: DataFrame) -> Cube:
