@@ -213,7 +213,9 @@ def deduplicate(
     sizes = df.groupBy("_key", "_session").agg(F.count("*").alias("_n"))
     small = df.join(sizes, ["_key", "_session"]).select("id", "_key", "_session", "_n", "_time", "_score", "_updated", "west", "south", "east", "north")
     alone = small.where("_n = 1").select("id", "_key")
-    kept = small.where("_n > 1").groupBy("_key", "_session").applyInPandas(lambda pdf: groups(pdf), "id string, _key string")
+    # sessions that begin in one span of time go to Python together; gaps keep them apart there
+    several = small.where("_n > 1").withColumn("_part", F.floor(F.col("_session") / span))
+    kept = several.groupBy("_key", "_part").applyInPandas(lambda pdf: groups(pdf), "id string, _key string")
     return items.join(alone.union(kept).select("id"), "id", "left_semi")
 
 
