@@ -1,11 +1,13 @@
 """Registered queries against their SQL, and the others against brute force, on the smallest tables."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from gridloom.llm import media, packing, simhash, suffix, toxicity
 from gridloom.llm import queries as lq
@@ -33,6 +35,18 @@ def test_media_round_trip(spark, sf, texts):
         assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(data), len(payload), len(stored))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
         assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        assert r.feature == naive_feature(payload)
+
+
+def naive_feature(payload):
+    """Mean, variance and the average block's hash, sample by sample."""
+    mean = sum(payload) / len(payload)
+    blocks = [[0] * 8 for _ in range(8)]
+    for i, v in enumerate(payload):
+        row, col = i // 24 % 24, i % 24
+        blocks[row // 3][col // 3] += v
+    bits = "".join("1" if 64 * x > sum(map(sum, blocks)) else "0" for line in blocks for x in line)
+    return f"mean={mean:.4f};var={sum(v * v for v in payload) / len(payload) - mean * mean:.4f};hash={int(bits, 2):016x}"
 
 
 def check_pieces(pieces, wanted):
@@ -62,10 +76,26 @@ def test_packing_covers_every_token(spark, sf, texts):
     assert check_pieces(packing.pack(spark.read.parquet(f"{sf}/documents.parquet")).collect(), wanted) > 0.98
 
 
+def naive_fingerprint(text, shingle=3):
+    """By the definition, bit by bit, on text rather than bytes."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    spans = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in spans]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_against_their_definition(texts):
+    odd = ["", " \t", "One", "one TWO", "a b c d", "É é ı İ ß", "x\u00a0y z\u2003w v", "same same same same same", "line\x0b\x0cfeed \x1c word here", "漢字 かな 한글 テスト"]
+    for text in [None, *odd, *list(texts.values())[:80]]:
+        assert simhash.fingerprint(text) == naive_fingerprint(text)
+
+
 def test_simhash_components(spark, sf, texts):
     got = {r.doc_id: r for r in simhash.op9_simhash(spark, sf).collect()}
     ids = sorted(texts)
-    fps = np.array([simhash.fingerprint(texts[i]) for i in ids], np.uint64)
+    fps = np.array([naive_fingerprint(texts[i]) for i in ids], np.uint64)
     parent = {i: i for i in ids}
 
     def find(i):
