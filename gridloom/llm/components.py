@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _star(edges: DataFrame, keep_larger: bool) -> DataFrame:
+#: Edges of a partition: small graphs, and the last rounds of large ones, don't pay for a task on every shuffle partition.
+EDGES = 100_000
+
+
+def _star(edges: DataFrame, keep_larger: bool, parts: int) -> DataFrame:
     """One contraction: every node's larger (or smaller) neighbours are linked to its least neighbour.
 
     A hub's neighbours are never gathered: its least neighbour is a pre-aggregated minimum that is written
@@ -18,8 +22,7 @@ def _star(edges: DataFrame, keep_larger: bool) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    both = materialize(both, "star")
-    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts), "star-least")
     linked = both.join(least, "u")
     if keep_larger:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -27,7 +30,7 @@ def _star(edges: DataFrame, keep_larger: bool) -> DataFrame:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))
         )
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v")).distinct().coalesce(parts)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,9 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = edges.where("u IS NOT NULL AND v IS NOT NULL")
     selves = nodes.select("u").union(nodes.select("v")).distinct()
     state = materialize(nodes.where("u != v").distinct(), "edges")
-    before = None
+    before, parts = None, 1 + state.count() // EDGES
+    state = state.coalesce(parts)
     while True:
-        state = materialize(_star(_star(state, keep_larger=True), keep_larger=False), "edges")
+        larger = materialize(_star(state, True, parts), "edges-larger")
+        state = materialize(_star(larger, False, parts), "edges")
         # a star forest keeps its edges: same count and same checksum mean a fixed point
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:

@@ -86,23 +86,32 @@ def inclusion(sums: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(docs: DataFrame, weights: Sequence[float], cap: int, seed: int, odds: str | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, source, size, u, source_size, target, whole, rest, p, q, cell, fine) for every row; q is null where nothing is drawn."""
-    rows = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            uniform(F.col(id_col), F.col(text_col), seed=seed).alias("u"),
-            (F.lit(None).cast("double") if odds is None else F.greatest(F.coalesce(F.col(odds).cast("double"), F.lit(1.0)), F.lit(1e-12))).alias("odds"),
-        ).withColumn("level", F.coalesce(F.round(2 * F.log2("odds")).cast("int"), F.length(F.bin(F.col("size") + 1)))),
-        "mix-sizes",
-    )
+def _sized(doc_id: Column, source: Column, text: Column, odds: Column, seed: int) -> dict[str, Column]:
+    """What the mix needs of a document: id, source, size in words, random number and level of odds."""
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    level = F.coalesce(F.round(2 * F.log2(F.when(odds < 1e-12, F.lit(1e-12)).otherwise(odds))).cast("int"), F.length(F.bin(size + 1)))
+    return {"doc_id": doc_id, "source": source, "size": size, "u": uniform(doc_id, text, seed=seed), "level": level}
+
+
+def _rank() -> Column:
+    """Random odds by inclusion odds; null where nothing is drawn."""
+    return (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+
+
+def _planned(docs: DataFrame, weights: Sequence[float], cap: int, seed: int, odds: str | None, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, plan): what the mix needs of every document, and what it does with each source and level."""
+    own = F.lit(None).cast("double") if odds is None else F.coalesce(F.col(odds).cast("double"), F.lit(1.0))
+    columns = _sized(F.col(id_col), F.col(source_col), F.col(text_col), own, seed)
+    rows = materialize(docs.select(*[c.alias(n) for n, c in columns.items()]), "mix-sizes")
     sums = materialize(rows.groupBy("source", "level").agg(F.sum("size").alias("words")), "mix-levels")
     targets = source_targets(sums.withColumnRenamed("words", "size"), weights, cap)
-    plan = materialize(inclusion(sums, targets), "mix-plan")
-    both = rows.alias("r").join(plan.withColumnRenamed("level", "l"), F.col("r.source").eqNullSafe(F.col("of")) & (F.col("r.level") == F.col("l")))
-    both = both.drop("of", "l", "level", "odds").withColumn("q", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    return rows, materialize(inclusion(sums, targets).withColumnRenamed("level", "l"), "mix-plan")
+
+
+def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(doc_id, source, size, u, source_size, target, whole, rest, p, q, cell, fine) for every row; q is null where nothing is drawn."""
+    both = rows.alias("r").join(plan, F.col("r.source").eqNullSafe(F.col("of")) & (F.col("r.level") == F.col("l")))
+    both = both.drop("of", "l", "level").withColumn("q", _rank())
     z = F.log("q")
     return materialize(both.withColumn("cell", F.floor(z * CELLS)).withColumn("fine", F.floor(z * CELLS * CELLS)), "mix-ranked")
 
@@ -124,7 +133,13 @@ def mix(
     drawn from id and text: rows that repeat both share it and are taken one by one. An empty table gives no rows.
     Extra columns are ignored.
     """
-    ranked = _ranked(docs, weights, cap, seed, odds, id_col, text_col, source_col)
+    out = _decided(_ranked(*_planned(docs, weights, cap, seed, odds, id_col, text_col, source_col)))
+    out = out.withColumn("copies", F.least(F.lit(cap), F.col("whole") + F.col("extra")).cast("long"))
+    return out.select("doc_id", "source", "size", "u", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _decided(ranked: DataFrame) -> DataFrame:
+    """ranked rows with extra: 1 for those of the sample, which is a beginning of its source in the order of (q, doc_id, size)."""
     drawn = ranked.where("q IS NOT NULL")
 
     def running(cell: str, of: DataFrame, *keys: str) -> DataFrame:
@@ -145,35 +160,38 @@ def mix(
     inside = materialize(inside, "mix-edge")
     finer = at(inside, materialize(running("fine", inside, "source", "cell"), "mix-fine"), "fine")
     # whole cells are taken or left by their own bounds; the rows of the edge cells of the fine grid are ordered, equal ones as one
-    cols = ["doc_id", "source", "size", "u", "source_size", "target", "whole"]
+    cols = ["doc_id", "source", "size", "u", "source_size", "target", "whole", "q"]
     extra = (F.col("upto") < F.col("rest")).cast("int").alias("extra")
     clear = bounds.where(f"NOT ({edge})").select(*cols, extra).unionByName(finer.where(f"NOT ({edge})").select(*cols, extra))
-    alike = finer.where(edge).groupBy(*cols, "fine", "q", "rest", "before").agg(F.count("*").alias("n"))
+    alike = finer.where(edge).groupBy(*cols, "fine", "rest", "before").agg(F.count("*").alias("n"))
     order = W.partitionBy("source", "fine").orderBy("q", "doc_id", "size")
     ahead = F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     fits = F.when(F.col("size") > 0, F.floor((F.col("rest") - ahead) / F.col("size") + 0.5)).otherwise(F.when(ahead <= F.col("rest"), F.col("n")).otherwise(0))
     few = alike.withColumn("fits", fits).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     few = few.select(*cols, (F.col("k") <= F.col("fits")).cast("int").alias("extra"))
-    out = ranked.where("q IS NULL").select(*cols, F.lit(0).alias("extra")).unionByName(clear).unionByName(few)
-    out = out.withColumn("copies", F.least(F.lit(cap), F.col("whole") + F.col("extra")).cast("long"))
-    return out.select("doc_id", "source", "size", "u", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return ranked.where("q IS NULL").select(*cols, F.lit(0).alias("extra")).unionByName(clear).unionByName(few)
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, seed: int = 42) -> DataFrame:
     """docs with each row as often as the mix takes it (0 to cap times); all columns kept.
 
-    Rows of one id and text are decided together here: each gets the copies of most of them.
+    The sample of a source ends at one place in its order, so documents are decided where they lie, by the plan and that
+    place; none of them moves. Rows of one id and text are decided together: if the sample takes one of them, all.
     """
-    chosen = mix(docs, weights, cap, seed).groupBy("doc_id", "source", "size", "u").agg(F.round(F.avg("copies")).cast("long").alias("copies"))
-    chosen = materialize(
-        chosen.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("u").alias("_u"), "copies"), "mix-copies"
-    )
-    rows = docs.select(F.struct("*").alias("row")).withColumn("_own", uniform(F.col("row.doc_id"), F.col("row.text"), seed=seed))
-    joined = rows.join(
-        chosen,
-        F.col("row.doc_id").eqNullSafe(F.col("_i")) & F.col("row.source").eqNullSafe(F.col("_s")) & (F.col("_own") == F.col("_u")),
-    )
-    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    rows, plan = _planned(docs, weights, cap, seed, None, "doc_id", "text", "source")
+    place = F.struct("q", "doc_id", "size")
+    last = _decided(_ranked(rows, plan)).where("extra = 1").groupBy("source").agg(F.max(place).alias("last"))
+    last = materialize(last.select(F.col("source").alias("_of"), "last"), "mix-last")
+    # a row for each source and level: some hundreds, or a few thousand levels of each source at most
+    plan = plan.join(last, F.col("of").eqNullSafe(F.col("_of")), "left").select("of", "l", "whole", "p", "last")
+    row = lambda c: F.col(f"row.`{c}`")
+    own = _sized(row("doc_id"), row("source"), row("text"), F.lit(None).cast("double"), seed)
+    sized = docs.select(F.struct("*").alias("row")).withColumns(own)
+    joined = sized.join(F.broadcast(materialize(plan, "mix-cuts")), F.col("source").eqNullSafe(F.col("of")) & (F.col("level") == F.col("l"))).withColumn("q", _rank())
+    extra = F.when(F.col("q").isNotNull() & F.col("last").isNotNull(), (place <= F.col("last")).cast("int")).otherwise(0)
+    copies = F.least(F.lit(cap), F.col("whole") + extra).cast("long")
+    taken = joined.withColumn("copies", copies).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

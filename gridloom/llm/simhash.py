@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import member_filter
+from .bloom import maybe_repeated, member_filter
 from .common import LOWER_BYTES, materialize, sliced, utf8
 from .components import components
 
@@ -304,24 +304,26 @@ _BITS = ["f0", "f1", "f2", "f3"]
 
 
 def _candidates(members: DataFrame, whole: bool) -> DataFrame:
-    """Pairs (u, v, size) of nodes that share a key and may be similar, by size and fingerprint, and whose roots differ.
+    """Pairs (u, v, size, key) of nodes that share a key and may be similar, by size and fingerprint, and whose roots differ.
 
     members: key, node, root, size, f0 to f3, at most CROWD of a key. whole: all such pairs, else a spanning forest of them.
-    size: of the larger set.
+    size: of the larger set; key: the least that the pair was found by.
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [np.zeros((0, 3), np.int64)]
-            for rows in pdf["rows"]:
+            out = [np.zeros((0, 4), np.int64)]
+            for key, rows in zip(pdf["key"], pdf["rows"], strict=True):
                 x = np.array(sorted(tuple(r.values()) for r in rows), np.int64)
                 far, linked = _possible(x[:, 0], x[:, 1], x[:, 2], x[:, 3:].view(np.uint64))
                 i, j = np.nonzero(np.triu(linked, 1)) if whole or len(x) == 2 else _forest(far, linked)
-                out.append(np.column_stack((np.minimum(x[i, 0], x[j, 0]), np.maximum(x[i, 0], x[j, 0]), np.maximum(x[i, 2], x[j, 2]))))
-            yield pd.DataFrame(np.concatenate(out), columns=["u", "v", "size"])
+                u, v, size = np.minimum(x[i, 0], x[j, 0]), np.maximum(x[i, 0], x[j, 0]), np.maximum(x[i, 2], x[j, 2])
+                out.append(np.column_stack((u, v, size, np.full(len(u), key, np.int64))))
+            yield pd.DataFrame(np.concatenate(out), columns=["u", "v", "size", "key"])
 
     rows = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "size", *_BITS)).alias("rows"))
-    return rows.where("size(rows) > 1").select("rows").mapInPandas(compare, "u long, v long, size long").distinct()
+    found = rows.where("size(rows) > 1").mapInPandas(compare, "u long, v long, size long, key long")
+    return found.groupBy("u", "v").agg(F.max("size").alias("size"), F.min("key").alias("key"))
 
 
 def _sets(pairs: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, label: str) -> DataFrame:
@@ -359,7 +361,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
 
 
 def _confirmed_together(members: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """As _confirmed for all possible pairs of each key's members, whose sets of at most BIG shingles meet once for a key."""
+    """As _confirmed for all possible pairs of each key's members, whose sets meet once for a key."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -446,7 +448,9 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
     rooted = materialize(rooted.join(mixed, "key", "left_semi"), "near-rooted")
     rest = materialize(_candidates(rooted, whole=True).join(known, ["u", "v"], "left_anti"), "near-other-pairs")
     sets = _sets(rest, texts, src, shingle, "near-other")
-    more = _confirmed_together(rooted.where(F.col("size") <= BIG), sets, "near-other").union(_confirmed(rest.where(F.col("size") > BIG), sets, "near-big"))
+    near = rest.where(F.col("size") <= BIG)  # each pair meets under one of its keys
+    meet = near.select("key", F.col("u").alias("node")).union(near.select("key", "v")).distinct()
+    more = _confirmed_together(rooted.join(meet, ["key", "node"], "left_semi"), sets, "near-other").union(_confirmed(rest.where(F.col("size") > BIG), sets, "near-big"))
     roots = materialize(components(edges.union(more)), "near-roots")
     found = texts.groupBy("tid").agg(F.first("node").alias("node"), F.count("*").alias("n_rows"))
     return found.join(roots, "node", "left").select("tid", F.coalesce("root", "node").alias("root"), "n_rows")
@@ -466,14 +470,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = materialize(near_copy_groups(docs, text_col, shingle), "near-texts")
     several = materialize(groups.groupBy("root").agg(F.sum("n_rows").alias("n")).where("n > 1").select("root"), "near-several")
     grouped = materialize(groups.join(several, "root").select("tid", "root"), "near-grouped")
-    rows = docs.select(F.struct("*").alias("row"), _text_id(F.col(text_col)).alias("tid")).join(grouped, "tid", "left")
+    # rows of texts that are certainly alone pass straight through; what passes the filter is joined with its group
+    filt = member_filter(grouped.select(F.xxhash64("tid").alias("k")), "k")
+    rows = docs.select(F.struct("*").alias("row"), _text_id(F.col(text_col)).alias("tid"))
+    rows = rows.withColumn("maybe", maybe_repeated(F.xxhash64("tid"), filt))
+    joined = rows.where("maybe").join(grouped, "tid", "left")
     order = F.struct(
         F.col(f"row.`{id_col}`").isNull(),
         F.col(f"row.`{id_col}`"),
         F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != id_col]),
     )
-    best = rows.where("root IS NOT NULL").groupBy("root").agg(F.min_by("row", order).alias("row")).select("row.*")
-    return rows.where("root IS NULL").select("row.*").unionByName(best)
+    best = joined.where("root IS NOT NULL").groupBy("root").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return rows.where("NOT maybe").select("row.*").unionByName(joined.where("root IS NULL").select("row.*")).unionByName(best)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -280,7 +280,7 @@ def test_mix_cells_hold_few_rows(spark, weights):
     df = spark.range(30000).selectExpr(
         "CASE WHEN id % 3 > 0 THEN id END AS doc_id", "concat_ws(' ', 'some', 'words', cast(id as string)) AS text", "CASE WHEN id < 15000 THEN 'a' ELSE 'b' END AS source"
     )
-    ranked = mixing._ranked(df, weights, 3, 42, None, "doc_id", "text", "source")
+    ranked = mixing._ranked(*mixing._planned(df, weights, 3, 42, None, "doc_id", "text", "source"))
     assert ranked.count() == 30000
     cells = ranked.where("q IS NOT NULL").groupBy("source", "fine").count().agg(F.max("count")).first()[0]
     assert cells is None or cells < 100
