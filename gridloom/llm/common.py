@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.scratch import root as scratch_root
 from ..plans.scratch import written as materialize
 
-__all__ = ["LOWER_BYTES", "WORD", "lower_ascii", "materialize", "scratch_root", "sliced", "table", "utf8"]
+__all__ = ["LOWER_BYTES", "WORD", "lower_ascii", "materialize", "scratch_root", "sliced", "utf8"]
 
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,10 +20,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
     """Arrow batches in parts of so many rows: what a worker makes of whole texts is bounded by a part, not by the batch."""
     for pdf in batches:

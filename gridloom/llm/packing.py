@@ -22,7 +22,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 LENGTH = 2048
 END_ID = 1
 SHARD_BYTES = 1 << 20

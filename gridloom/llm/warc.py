@@ -20,7 +20,6 @@ import hashlib
 import io
 import re
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
