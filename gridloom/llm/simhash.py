@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement, pairwise
 
 import numpy as np
 import pandas as pd
@@ -188,12 +188,13 @@ def near_components(
 #: Orders of all shingles. The least shingle of a set in each order is a key; a pair of similarity s misses all keys once in
 #: (1 - s) ** -ORDERS times, at 0.8 once in 15,000.
 ORDERS = 6
-#: Members of a key up to which all of them are compared; the members of a larger one are told apart by pairs of such keys.
-CROWD = 256
+#: Members of a block. A key's members are dealt over blocks by their hash and meet in every pair of blocks; BLOCKS of them move
+#: together, so that a row of a key with n members moves n / (CROWD * BLOCKS) times.
+CROWD, BLOCKS = 256, 8
 #: Bits of 256 in which two sets of similarity 0.8 may differ: 39 are expected, with a deviation of 6. Sets below SMALL
 #: shingles have coarser fingerprints and are compared as sets without asking them.
 REACH, SMALL = 60, 32
-#: Sets up to which all members of a key are compared in one place; larger ones are joined pair by pair.
+#: Sets up to which all members of two blocks are compared in one place; larger ones meet pair by pair.
 BIG = 1 << 16
 #: One text of SAMPLE is read to find common shingles: in SAMPLE_SHARE or more of those, at most COMMON. Texts that hold one get
 #: keys without them besides, which keeps boilerplate from hiding what else they share.
@@ -293,43 +294,108 @@ def _forest(far: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def _possible(node: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits that differ, whether two nodes of different roots may be similar) for all pairs of a key's members."""
-    far = np.bitwise_count(bits[:, None] ^ bits[None, :]).sum(axis=2, dtype=np.int64)
-    less, more = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-    return far, (root[:, None] != root[None, :]) & (5 * less >= 4 * more) & ((far <= REACH) | (less < SMALL))
+def _possible(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits that differ, whether the nodes may be similar and differ in root) for all pairs of rows (node, root, size, f0 to f3)."""
+    far = np.bitwise_count(x[:, None, 3:].view(np.uint64) ^ y[None, :, 3:].view(np.uint64)).sum(axis=2, dtype=np.int64)
+    less, more = np.minimum(x[:, None, 2], y[None, :, 2]), np.maximum(x[:, None, 2], y[None, :, 2])
+    return far, (x[:, None, 1] != y[None, :, 1]) & (5 * less >= 4 * more) & ((far <= REACH) | (less < SMALL))
 
 
 _BITS = ["f0", "f1", "f2", "f3"]
 
 
-def _candidates(members: DataFrame, whole: bool) -> DataFrame:
-    """Pairs (u, v, size, key) of nodes that share a key and may be similar, by size and fingerprint, and whose roots differ.
+def _runs(batches: Iterator[pd.DataFrame], by: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Groups of rows that are sorted by their first ``by`` columns: a matrix of the long columns, and the shingles if there are any."""
+    rest = None
+    for pdf in batches:
+        rows = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        longs = rows.drop(columns="shingles", errors="ignore").to_numpy(np.int64)
+        data = rows["shingles"].to_numpy() if "shingles" in rows else None
+        cuts = [0, *(np.flatnonzero((longs[1:, :by] != longs[:-1, :by]).any(axis=1)) + 1).tolist()]
+        for i, j in pairwise(cuts):
+            yield longs[i:j], None if data is None else data[i:j]
+        rest = rows.iloc[cuts[-1] :]
+    if rest is not None and len(rest):
+        yield rest.drop(columns="shingles", errors="ignore").to_numpy(np.int64), rest["shingles"].to_numpy() if "shingles" in rest else None
 
-    members: key, node, root, size, f0 to f3, at most CROWD of a key. whole: all such pairs, else a spanning forest of them.
-    size: of the larger set; key: the least that the pair was found by.
+
+def _parts(arrays: Iterator[np.ndarray], columns: list[str], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """The rows of many small arrays in frames of about so many."""
+    out, n = [], 0
+    for x in arrays:
+        out.append(x)
+        n += len(x)
+        if n >= rows:
+            yield pd.DataFrame(np.concatenate(out), columns=columns)
+            out, n = [], 0
+    if out:
+        yield pd.DataFrame(np.concatenate(out), columns=columns)
+
+
+def _longs(columns: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in columns)
+
+
+def _forests(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a spanning forest of the nodes of each block of a key that may be similar, by size and fingerprint."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pairs():
+            for x, _ in _runs(batches, 2):
+                if len(x) > 1:
+                    x = x[:, [2, 2, *range(3, x.shape[1])]]  # each node is its own root
+                    i, j = _forest(*_possible(x, x))
+                    yield np.column_stack((x[i, 0], x[j, 0]))
+
+        return _parts(pairs(), ["u", "v"])
+
+    rows = members.select("key", "block", "node", "size", *_BITS)
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInPandas(link, _longs(["u", "v"]))
+
+
+def _meetings(rooted: DataFrame) -> DataFrame:
+    """(meeting, node, root, size, f0 to f3): all pairs of a key's nodes that may be similar and differ in root lie in a meeting.
+
+    rooted: key, n, block, node, root, size, f0 to f3. A meeting has the nodes of two blocks that have such a partner in the other;
+    a pair with a set beyond BIG has its own. Its number is a hash of its pairs, so that pairs found by several keys meet once.
     """
+    values, together, most = ["node", "root", "size", *_BITS], BLOCKS, BIG
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [np.zeros((0, 4), np.int64)]
-            for key, rows in zip(pdf["key"], pdf["rows"], strict=True):
-                x = np.array(sorted(tuple(r.values()) for r in rows), np.int64)
-                far, linked = _possible(x[:, 0], x[:, 1], x[:, 2], x[:, 3:].view(np.uint64))
-                i, j = np.nonzero(np.triu(linked, 1)) if whole or len(x) == 2 else _forest(far, linked)
-                u, v, size = np.minimum(x[i, 0], x[j, 0]), np.maximum(x[i, 0], x[j, 0]), np.maximum(x[i, 2], x[j, 2])
-                out.append(np.column_stack((u, v, size, np.full(len(u), key, np.int64))))
-            yield pd.DataFrame(np.concatenate(out), columns=["u", "v", "size", "key"])
-
-    rows = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "size", *_BITS)).alias("rows"))
-    found = rows.where("size(rows) > 1").mapInPandas(compare, "u long, v long, size long, key long")
-    return found.groupBy("u", "v").agg(F.max("size").alias("size"), F.min("key").alias("key"))
-
-
-def _sets(pairs: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, label: str) -> DataFrame:
-    """(node, shingles) of all nodes in the pairs (u, v), and of a few others; read from one text of each."""
-    compared = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = materialize(texts.join(compared, "node").groupBy("node").agg(F.min("tid").alias("tid")), f"{label}-wanted")
+        def met(x, rows):
+            number = xxhash.xxh3_64_intdigest(np.unique(np.sort(x[rows, 0], axis=1), axis=0).tobytes()) - (1 << 63)
+            x = x[np.unique(rows)]
+            return np.column_stack((np.full(len(x), number, np.int64), x))
+
+        def meetings():
+            for x, _ in _runs(batches, 3):
+                lo, hi = x[0, 1:3].tolist()
+                starts = np.flatnonzero(np.diff(x[:, 3], prepend=-1))
+                blocks = [np.arange(i, j) for i, j in pairwise([*starts.tolist(), len(x)])]
+                x, block = x[:, 4:], x[starts, 3]
+                for a, b in combinations_with_replacement(range(len(blocks)), 2):
+                    if block[a] // together != lo or block[b] // together != hi:
+                        continue
+                    i, j = np.nonzero(_possible(x[blocks[a]], x[blocks[b]])[1])
+                    rows = np.column_stack((blocks[a][i], blocks[b][j]))
+                    big = (x[rows, 2] > most).any(axis=1)
+                    yield from (met(x, rows[k : k + 1]) for k in np.flatnonzero(big))
+                    if not big.all():
+                        yield met(x, rows[~big])
+
+        return _parts(meetings(), ["meeting", *values])
+
+    part = F.expr(f"block div {BLOCKS}")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CROWD * BLOCKS}")))
+    rows = rooted.withColumn("part", part).withColumn("other", other)
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "block", *values)
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block", "node")
+    return rows.mapInPandas(compare, _longs(["meeting", *values])).dropDuplicates(["meeting", "node"])
+
+
+def _sets(compared: DataFrame, texts: DataFrame, src: DataFrame, shingle: int, label: str) -> DataFrame:
+    """(node, shingles) of all nodes of ``compared``, and of a few others; read from one text of each."""
+    wanted = materialize(texts.join(compared.select("node").distinct(), "node").groupBy("node").agg(F.min("tid").alias("tid")), f"{label}-wanted")
     # a filter lets the wanted texts through where they lie; the few others that pass find no pair
     filt = member_filter(wanted.select(F.xxhash64("tid").alias("k")), "k")
 
@@ -360,25 +426,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return materialize(both.mapInPandas(confirm, "u long, v long"), f"{label}-edges")
 
 
-def _confirmed_together(members: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """As _confirmed for all possible pairs of each key's members, whose sets meet once for a key."""
+def _confirmed_together(meetings: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """As _confirmed for all pairs of each meeting that may be similar; pairs that others connect are left out."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            us, vs = [], []
-            for rows in pdf["rows"]:
-                node, root, size = (np.array([r[c] for r in rows], np.int64) for c in ("node", "root", "size"))
-                bits = np.array([[r[c] for c in _BITS] for r in rows], np.int64).view(np.uint64)
-                own = [unpacked(r["shingles"]) for r in rows]
-                for i, j in zip(*np.nonzero(np.triu(_possible(node, root, size, bits)[1], 1)), strict=True):
+        def edges():
+            for x, data in _runs(batches, 1):
+                x, own = x[:, 1:], [unpacked(d) for d in data]
+                node, root = x[:, 0], x[:, 1].copy()
+                for i, j in zip(*np.nonzero(np.triu(_possible(x, x)[1], 1)), strict=True):
                     if root[i] != root[j] and _like(own[i], own[j]):
-                        us.append(int(node[i]))
-                        vs.append(int(node[j]))
+                        yield np.array([[node[i], node[j]]])
                         root[root == root[j]] = root[i]
-            yield pd.DataFrame({"u": us, "v": vs}, dtype=np.int64)
 
-    rows = members.join(sets, "node").groupBy("key").agg(F.collect_list(F.struct("node", "root", "size", *_BITS, "shingles")).alias("rows"))
-    return materialize(rows.where("size(rows) > 1").select("rows").mapInPandas(confirm, "u long, v long"), f"{label}-edges")
+        return _parts(edges(), ["u", "v"])
+
+    rows = meetings.join(sets, "node").select("meeting", "node", "root", "size", *_BITS, "shingles")
+    rows = rows.repartition("meeting").sortWithinPartitions("meeting", "node")
+    return materialize(rows.mapInPandas(confirm, _longs(["u", "v"])), f"{label}-edges")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -391,8 +456,8 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
     Texts of one set of shingles are one node. Nodes are linked if their sets have Jaccard similarity 0.8 or more, which whole
     sets confirm for every link. Candidates are, first, nodes whose fingerprints lie within MAX_DISTANCE bits, by Golay
     keys; then nodes that share a least shingle in one of several orders and whose wide fingerprints lie within REACH bits. A
-    key's members are linked by a spanning forest first; what differs in root after that is compared pair by pair.
-    A key of more than CROWD members is linked to one of them, and its members are compared by pairs of such keys.
+    key's members are linked by spanning forests of blocks of about CROWD first, and in larger keys to one of them; what differs
+    in root after that is compared pair by pair, in all pairs of blocks, however many members a key has.
     """
     src = docs.select(_text_id(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
     common = _common_shingles(src, shingle)
@@ -412,45 +477,35 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5)
     nodes = texts.groupBy("node").agg(*[F.first(c).alias(c) for c in [*values, "keys"]])
     nodes = materialize(nodes, "near-nodes")
 
-    def shared(keyed: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-        """(key, node) of keys with 2 to CROWD members, and of larger ones."""
-        counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-shared")
-        members = materialize(keyed.join(counts, "key"), f"{label}-members")
-        return members.where(f"n <= {CROWD}").select("key", "node"), members.where(f"n > {CROWD}").select("key", "node")
-
-    few, many = shared(nodes.select(F.explode("keys").alias("key"), "node"), "near")
-    pairs_of = "flatten(transform(sequence(1, size(k) - 1), i -> transform(slice(k, i + 1, size(k)), y -> xxhash64(k[i - 1], y))))"
-    double = many.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("k")).where("size(k) > 1")
-    few_again, crowds = shared(double.select(F.explode(F.expr(pairs_of)).alias("key"), "node"), "near-double")
-    crowds = many.union(crowds)
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", *values)
+    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    block = F.pmod(F.xxhash64("node"), F.expr(f"(n + {CROWD - 1}) div {CROWD}"))
+    members = materialize(keyed.join(counts, "key").withColumn("block", block), "near-members")
+    crowds = members.where(f"n > {CROWD}")
     first = crowds.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node")).getField("node").alias("v"))
     first = materialize(first.join(nodes.select(F.col("node").alias("v"), *[F.col(c).alias(f"v{c}") for c in values]), "v"), "near-first")
     differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"v{c}"))) for c in _BITS])
     less, more = F.least("size", "vsize"), F.greatest("size", "vsize")
-    to_first = crowds.join(nodes.select("node", *values), "node").join(first, "key").where((5 * less >= 4 * more) & ((differ <= REACH) | (less < SMALL)))
+    to_first = crowds.join(first, "key").where((5 * less >= 4 * more) & ((differ <= REACH) | (less < SMALL)))
     to_first = to_first.select(F.col("node").alias("u"), "v")
-    members = materialize(few.union(few_again).join(nodes.select("node", *values), "node"), "near-compared")
 
     # fingerprints of 64 bits within two bits: each links its nodes to the least of them, which stands for it
     heads = materialize(nodes.groupBy("f0").agg(F.min("node").alias("head")), "near-heads")
     close = _links(heads.select(F.col("f0").alias("fp")))
     close = close.join(heads.select(F.col("f0").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("f0").alias("v"), F.col("head").alias("b")), "v")
     equal = nodes.join(heads, "f0").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    alone = members.withColumn("root", F.col("node"))
-    known = [close.select(F.col("a").alias("u"), F.col("b").alias("v")), equal, to_first]
-    known = reduce(DataFrame.union, [*known, _candidates(alone, whole=False).select("u", "v")])
-    known = materialize(_ordered(known).distinct(), "near-first-pairs")
-    edges = _confirmed(known, _sets(known, texts, src, shingle, "near-first"), "near-first")
+    known = [close.select(F.col("a").alias("u"), F.col("b").alias("v")), equal, to_first, _forests(members)]
+    known = materialize(_ordered(reduce(DataFrame.union, known)).distinct(), "near-first-pairs")
+    ends = known.select(F.col("u").alias("node")).union(known.select("v"))
+    edges = _confirmed(known, _sets(ends, texts, src, shingle, "near-first"), "near-first")
 
     roots = materialize(components(edges), "near-roots")
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = members.where("n > 2")  # the pair of a key of two is known
+    rooted = several.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     rooted = materialize(rooted.join(mixed, "key", "left_semi"), "near-rooted")
-    rest = materialize(_candidates(rooted, whole=True).join(known, ["u", "v"], "left_anti"), "near-other-pairs")
-    sets = _sets(rest, texts, src, shingle, "near-other")
-    near = rest.where(F.col("size") <= BIG)  # each pair meets under one of its keys
-    meet = near.select("key", F.col("u").alias("node")).union(near.select("key", "v")).distinct()
-    more = _confirmed_together(rooted.join(meet, ["key", "node"], "left_semi"), sets, "near-other").union(_confirmed(rest.where(F.col("size") > BIG), sets, "near-big"))
+    meetings = materialize(_meetings(rooted), "near-meetings")
+    more = _confirmed_together(meetings, _sets(meetings, texts, src, shingle, "near-other"), "near-other")
     roots = materialize(components(edges.union(more)), "near-roots")
     found = texts.groupBy("tid").agg(F.first("node").alias("node"), F.count("*").alias("n_rows"))
     return found.join(roots, "node", "left").select("tid", F.coalesce("root", "node").alias("root"), "n_rows")

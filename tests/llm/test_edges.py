@@ -180,6 +180,23 @@ def test_near_copies_are_exactly_similar(spark, monkeypatch):
         assert kept == wanted if crowd > 4 else kept >= wanted and len(kept) < 1.1 * len(wanted)
 
 
+@pytest.mark.parametrize("blocks, big", [(8, 1 << 16), (2, 300)])
+def test_near_copies_in_crowds_lose_no_link(spark, monkeypatch, blocks, big):
+    """Texts of two thirds boilerplate share their keys, and pairs of keys, with all others; each still meets its partner."""
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    monkeypatch.setattr(simhash, "BLOCKS", blocks)
+    monkeypatch.setattr(simhash, "BIG", big)
+    rng = random.Random(31)
+    prose = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    boiler, texts = prose(200), []
+    for k in range(40):
+        own = boiler + prose(100)
+        texts += [own, own + prose(55 + k % 12)]  # similarity of 0.82 to 0.84
+    texts += [boiler + prose(100) for _ in range(20)]  # alone, at 0.49
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == [*range(0, 80, 2), *range(80, 100)]
+
+
 def test_near_copies_recall_at_the_bound(spark):
     """Pairs with similarity of 0.8 to 0.83 are found, pairs of 0.75 to 0.8 are left; boilerplate of two thirds doesn't hide them."""
     rng = random.Random(21)
