@@ -3,14 +3,15 @@
 Documents are placed by the leading bits of a 60-bit hash of their content. A directory bucket that exceeds the byte
 limit splits on its next bit, and only such buckets do. The splitting works on sums: one aggregation yields the
 bytes of every cell STEP bits below the buckets that are still too large, and the least fitting depth of each cell
-follows from these sums; rows are read again only where a bucket is too large even STEP bits deeper.
+follows from these sums by windows over its buckets, without a row for each depth; rows are read again only where a
+bucket is too large even STEP bits deeper.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -25,6 +26,27 @@ def _hash(*cols):
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, BITS // 4), 16, 10).cast("long")
 
 
+def _least_buckets(cells: DataFrame, base: int, bits: int, limit: int) -> DataFrame:
+    """(cell, depth, prefix, shard_bytes, shard_rows): the shallowest bucket of each cell that fits, else nulls.
+
+    cells: cell (a prefix of ``bits`` bits), bytes, n. A cell keeps its one row: its buckets' sums are windows over the cells of
+    its bucket at ``base``, at most 2 ** STEP.
+    """
+    fit = []
+    out = cells.withColumn("top", F.expr(f"shiftright(cell, {bits - base})")).repartition("top")
+    for depth in range(base, bits + 1):
+        prefix = F.expr(f"shiftright(cell, {bits - depth})")
+        bucket = Window.partitionBy("top", prefix)
+        sums = F.struct(
+            F.lit(depth).alias("depth"), prefix.alias("prefix"), F.sum("bytes").over(bucket).alias("shard_bytes"), F.sum("n").over(bucket).alias("shard_rows")
+        )
+        out = out.withColumn(f"b{depth}", sums)
+        b = F.col(f"b{depth}")
+        fits = (b["shard_bytes"] <= limit) | (b["shard_rows"] == 1) | F.lit(depth == BITS)
+        fit.append(F.when(fits, b))
+    return out.select("cell", F.coalesce(*fit).alias("b")).select("cell", "b.*")
+
+
 def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, shard, depth, shard_bytes, shard_rows) for every input row.
 
@@ -50,22 +72,11 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
         cells = materialize(
             open_rows.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")), "cells"
         )
-        levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(base), F.lit(bits)))).withColumn(
-            "prefix", F.expr(f"shiftright(cell, {bits} - depth)")
-        )
-        buckets = levels.groupBy("depth", "prefix").agg(
-            F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows")
-        )
-        fits = buckets.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("depth") == BITS))
-        least = F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("b")
-        directory = materialize(
-            levels.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("cell").agg(least).select("cell", "b.*"),
-            "directory",
-        )
-        parts.append(rows.withColumn("cell", cell).join(directory, "cell"))
+        placed = materialize(_least_buckets(cells, base, bits, limit), "directory")
+        parts.append(rows.withColumn("cell", cell).join(placed.where("depth IS NOT NULL"), "cell"))
         if bits == BITS:
             break
-        left = cells.join(directory, "cell", "left_anti").select("cell")
+        left = placed.where("depth IS NULL").select("cell")
         if left.isEmpty():
             break
         open_rows = open_rows.withColumn("cell", cell).join(left, "cell", "left_semi").drop("cell")

@@ -321,6 +321,15 @@ def test_shards(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_shards_make_no_row_for_each_depth(docs, monkeypatch):
+    """A cell is one row on its way to its bucket, however many depths it is tried at."""
+    plans, write = [], sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, label))
+    assert sharding.shard(docs, 100).count() == len(rows())
+    found = [plan for label, plan in plans if label == "directory"]
+    assert found and not any("Join" in plan or "Generate" in plan for plan in found)
+
+
 @pytest.mark.parametrize("limit", [20_000, 1_500])
 def test_shards_equal_their_sql_at_small_limits(spark, sf, limit):
     query = lambda spark, sf: sharding.shard(spark.read.parquet(f"{sf}/documents.parquet"), limit)
